@@ -1,4 +1,4 @@
 """Registered queries: each pairs a Spark plan with the SQL that checks it."""
 
-from feedloom.plans import web  # noqa: F401
+from feedloom.plans import articles, feeds, jobs, web  # noqa: F401
 from feedloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -306,9 +306,9 @@ def worker_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.worker_usage(uses).withColumn("last_seen_at", stamp("last_seen_at"))
 
 
-def lease_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reports_of(events: DataFrame) -> DataFrame:
     """User events as result reports, a lease per customer and a few distinct results each."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         (F.col("user_id") * 10 + F.col("event_id") % 10).alias("lease_id"),
         F.col("ts").alias("at"),
@@ -340,7 +340,7 @@ def _leases(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM ranked r LEFT JOIN known f ON f.seq = r.hit""",
 )
 def lease_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.lease_ledger(lease_reports(spark, sf_dir), _leases(spark, sf_dir)).select("seq", "lease_id", "verdict")
+    return W.lease_ledger(reports_of(table(spark, sf_dir, "events")), _leases(spark, sf_dir)).select("seq", "lease_id", "verdict")
 
 
 @query(

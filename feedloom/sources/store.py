@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import IntegerType, StructType
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class KeyedTable:
     schema: str
 
     def _struct(self) -> StructType:
-        return _parse_datatype_string(self.schema)
+        return StructType.fromDDL(self.schema)
 
     def _versions(self, part: str) -> list[int]:
         """Complete versions below ``part``; one directory entry per batch since the last compaction."""
@@ -57,7 +57,7 @@ class KeyedTable:
         if not changes:
             return base.select(names)
         logged = (
-            self.spark.read.schema(self._struct().add("version", "int"))
+            self.spark.read.schema(self._struct().add("version", IntegerType()))
             .option("basePath", f"{self.root}/changes")
             .parquet(*[f"{self.root}/changes/version={v}" for v in changes])
         )

@@ -7,6 +7,8 @@ is therefore no hot key.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,10 +110,14 @@ def _distinct_by_identity(names: Column) -> Column:
     return F.transform(let(keyed, firsts), lambda n: n.shown)
 
 
-def clean_authors(authors: Column, author: Column) -> Column:
-    """Distinct author names of a source, in order, from its ``authors`` array and its ``author`` byline."""
+@lru_cache(maxsize=32)
+def clean_authors(authors: str, author: str) -> Column:
+    """Distinct author names of a source, in order, from its ``authors`` array and its ``author`` byline column.
+
+    The expression is large, and streams ask for it in every batch, so it is kept per pair of column names.
+    """
     bylines = F.filter(
-        F.concat(F.coalesce(authors, F.array().cast("array<string>")), F.array(author)),
+        F.concat(F.coalesce(F.col(authors), F.array().cast("array<string>")), F.array(author)),
         lambda b: b.isNotNull(),
     )
     names = F.flatten(F.transform(bylines, _byline_names))

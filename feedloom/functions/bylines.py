@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import WS, identity_text, let
+from feedloom.functions.text import ACCENTED, UNACCENTED, WS, identity_text, let, plain_text
 
 _I = "(?iU)"
 
@@ -64,6 +64,22 @@ def display(col: Column) -> Column:
     return F.nullif(F.trim(F.trim(spaced, F.lit("\"'"))), F.lit(""))
 
 
+# Anything but a letter, a digit or a space; identity text drops it.
+_OTHER = r"[^\p{L}\p{N} ]"
+
+
+def _any_of(words: list[str]) -> str:
+    return "(?:" + "|".join(w.replace(" ", f"{_OTHER}+") for w in words) + ")"
+
+
+# One word of a list, and a listed word after the first word, on plain text; words may carry punctuation.
+_PLACE = rf"^{_OTHER}*{_any_of(PLACE_PREFIXES)}{_OTHER}*$"
+_PARTICLE = rf"^{_OTHER}*{_any_of(PARTICLES)}{_OTHER}*$"
+_ENDING = _any_of(CUTOFF_WORDS + PLACE_PREFIXES)
+_ENDS_NAME = rf"^{_OTHER}*{_ENDING}{_OTHER}*$|^{_OTHER}*$"
+_DESCRIPTOR = rf"^[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}].* {_OTHER}*{_ENDING}{_OTHER}*(?: |$)"
+
+
 def is_role(col: Column) -> Column:
     return col.rlike(ROLE)
 
@@ -71,15 +87,19 @@ def is_role(col: Column) -> Column:
 def is_place(col: Column) -> Column:
     """``in Paris``: at least two words, the first a lower-case place word."""
     first = F.substring_index(col, " ", 1)
-    return col.contains(" ") & (first == F.lower(first)) & F.coalesce(
-        identity_text(first).isin(PLACE_PREFIXES), F.lit(False)
-    )
+    return col.contains(" ") & (first == F.lower(first)) & plain_text(first).rlike(_PLACE)
+
+
+# Only a fragment whose first letter is some kind of t can have the identity text of the word.
+_MAYBE_TEXT = r"^[^\p{L}\p{N}]*[tT" + "".join(
+    c + c.upper() for c, bare in zip(ACCENTED, UNACCENTED) if bare == "t" and len(c.upper()) == 1
+) + "]"
 
 
 def is_discardable(col: Column) -> Column:
     """Fragments that name nobody: a bare role, a desk, a domain, a place."""
     return (
-        F.coalesce(identity_text(col) == "text", F.lit(False))
+        (col.rlike(_MAYBE_TEXT) & F.coalesce(identity_text(col) == "text", F.lit(False)))
         | (is_role(col) & ~col.rlike(ROLE_PLACE))
         | col.rlike(GENERIC_DESK)
         | col.rlike(DOMAIN)
@@ -98,14 +118,9 @@ def is_named(col: Column) -> Column:
     return ~is_role(col) & is_standalone(col)
 
 
-def _ends_name(word: Column) -> Column:
-    return word.isin(CUTOFF_WORDS + PLACE_PREFIXES)
-
-
 def has_descriptor(col: Column) -> Column:
     """A later word is one that ends a name."""
-    words = F.filter(F.transform(F.split(col, " "), identity_text), lambda w: w.isNotNull())
-    return let(words, lambda w: F.exists(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), _ends_name))
+    return plain_text(col).rlike(_DESCRIPTOR)
 
 
 def leading_name(col: Column) -> Column:
@@ -116,19 +131,19 @@ def leading_name(col: Column) -> Column:
     words = F.transform(
         tokens,
         lambda t, i: let(
-            identity_text(t),
-            lambda n: F.struct(
+            plain_text(t),
+            lambda p: F.struct(
                 t.alias("text"),
-                (n.isin(PARTICLES) & (i > 0)).alias("inner"),
-                n.isin(PARTICLES).alias("particle"),
-                (t.rlike(NAME_WORD) | t.rlike(INITIALS)).alias("wordlike"),
-                (n.isNull() | _ends_name(n)).alias("ends"),
+                (p.rlike(_PARTICLE) & (i > 0)).alias("inner"),
+                p.rlike(_PARTICLE).alias("particle"),
+                t.rlike(rf"{NAME_WORD}|{INITIALS}").alias("wordlike"),
+                p.rlike(_ENDS_NAME).alias("ends"),
             ),
         ),
     )
 
     def cut(w: Column) -> Column:
-        stops = F.transform(w, lambda x: F.coalesce(x.ends | ~(x.inner | x.wordlike), F.lit(True)))
+        stops = F.transform(w, lambda x: x.ends | ~(x.inner | x.wordlike))
         stop = F.array_position(stops, True)
         return F.when(stop > 0, F.slice(w, 1, (stop - 1).cast("int"))).otherwise(w)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import identity_text
+from feedloom.functions.text import identity_text, let
 
 SEPARATOR = "\x1f"
 
@@ -27,8 +27,9 @@ def article_key(url: Column, title: Column, authors: Column, company: Column, pu
 
 def content_key(title: Column, summary: Column, company: Column, published_at: Column) -> Column:
     """Digest of the content; null when title or summary carries no text."""
-    digest = _digest(identity_text(title), identity_text(summary), identity_text(company), iso_utc(published_at))
-    return F.when(identity_text(title).isNotNull() & identity_text(summary).isNotNull(), digest)
+    texts = F.array(identity_text(title), identity_text(summary))
+    rest = (identity_text(company), iso_utc(published_at))
+    return let(texts, lambda t: F.when(F.forall(t, lambda x: x.isNotNull()), _digest(t[0], t[1], *rest)))
 
 
 # Reference namespaces and the prefix of supported task types.

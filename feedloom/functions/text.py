@@ -52,9 +52,13 @@ def fold(col: Column) -> Column:
     return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
 
 
+def plain_text(col: Column) -> Column:
+    """Lower case without accents; the costly part runs only on text beyond ASCII."""
+    unmarked = F.regexp_replace(F.translate(fold(col), ACCENTED, UNACCENTED), r"\p{M}+", "")
+    return F.when(col.rlike(r"[^\x00-\x7f]"), unmarked).otherwise(F.lower(col))
+
+
 def identity_text(col: Column) -> Column:
     """Case-, accent- and punctuation-free form used to compare names; null when nothing is left."""
-    plain = F.translate(fold(col), ACCENTED, UNACCENTED)
-    unmarked = F.regexp_replace(plain, r"\p{M}+", "")
-    words = F.trim(F.regexp_replace(unmarked, r"[^\p{L}\p{N}]+", " "))
+    words = F.trim(F.regexp_replace(plain_text(col), r"[^\p{L}\p{N}]+", " "))
     return F.nullif(words, F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.keys import clean_ref_ids
 from feedloom.functions.urls import normalize_host
-from feedloom.operators.skew import CHUNK_ROWS, chunk_of, hot_keys, salted_join, since_reset
+from feedloom.operators.skew import CHUNK_ROWS, chunk_of, salted_join, since_reset
 
 ERROR = "error"
 # Constants of a fetch payload.
@@ -79,62 +79,82 @@ def feed_runtime(results: DataFrame, previous: DataFrame | None = None, chunk_ro
     )
 
 
-def _requested(tasks: DataFrame) -> DataFrame:
-    return tasks.select("task_id", "job_id", "requested_at", clean_ref_ids(F.col("ref_ids")).alias("ref_ids"))
+def _wanted(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks with cleaned references, and one row per requested feed in order."""
+    requested = tasks.select("task_id", "job_id", "requested_at", clean_ref_ids(F.col("ref_ids")).alias("ref_ids"))
+    return requested, requested.select("task_id", F.posexplode("ref_ids").alias("pos", "feed_id"))
+
+
+def _with_url(feeds: DataFrame) -> DataFrame:
+    return feeds.where(F.col("url").isNotNull()).withColumnRenamed("id", "feed_id")
 
 
 def feed_payloads(
-    tasks: DataFrame, feeds: DataFrame, companies: DataFrame, runtime: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """``(payloads, stale)`` for fetch tasks with ``task_id, job_id, requested_at, ref_ids``.
+    tasks: DataFrame,
+    feeds: DataFrame,
+    companies: DataFrame,
+    runtime: DataFrame,
+    hot: dict[int, int] | None = None,
+) -> DataFrame:
+    """What to fetch for each task: ``task_id, payload``.
 
-    A payload lists the requested feeds in order. A task is stale when its feeds cannot be rebuilt exactly: it asks
-    for none, or for one that is gone or has no URL.
+    ``tasks`` has ``task_id, job_id, requested_at, ref_ids``. A payload lists the requested feeds in order. Tasks whose
+    feeds cannot be rebuilt exactly have none; see :func:`stale_tasks`.
     """
-    requested = _requested(tasks)
+    requested, wanted = _wanted(tasks)
     company = companies.select(
         F.col("id").alias("company_id"), F.col("host").alias("_host"), F.col("fetchprotection").alias("_protection")
     )
     state = runtime.select("feed_id", "etag", "last_feed_update", "last_article_published_at")
+    protection = F.when(F.coalesce("_protection", F.lit(0)) == 0, F.lit(DEFAULT_FETCH_PROTECTION))
     feed = (
-        feeds.select(F.col("id").alias("feed_id"), F.col("url").alias("feed_url"), "company_id")
-        .where(F.col("feed_url").isNotNull())
+        _with_url(feeds)
         .join(company, "company_id", "left")
         .join(state, "feed_id", "left")
         .select(
             "feed_id",
             F.struct(
                 "feed_id",
-                "feed_url",
+                F.col("url").alias("feed_url"),
                 "company_id",
                 normalize_host(F.col("_host")).alias("host_header"),
-                F.when(F.coalesce("_protection", F.lit(0)) == 0, F.lit(DEFAULT_FETCH_PROTECTION))
-                .otherwise(F.col("_protection"))
-                .alias("fetchprotection"),
+                protection.otherwise(F.col("_protection")).alias("fetchprotection"),
                 "etag",
                 F.col("last_feed_update").alias("last_update"),
                 F.col("last_article_published_at").alias("last_db_article_published_at"),
             ).alias("feed"),
         )
     )
-    wanted = requested.select("task_id", F.posexplode("ref_ids").alias("pos", "feed_id"))
-    found = salted_join(wanted, feed, "feed_id", spread=["task_id", "pos"], how="inner", hot=hot_keys(wanted, "feed_id"))
-    # A list is as long as one task's own reference array.
+    found = salted_join(wanted, feed, "feed_id", spread=["task_id", "pos"], how="inner", hot=hot)
+    # A list is no longer than one task's own reference array.
     lists = found.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("pos", "feed"))).alias("_feeds"))
-    built = requested.join(lists, "task_id", "left").withColumn(
-        "feeds", F.transform(F.coalesce("_feeds", F.array().cast(lists.schema["_feeds"].dataType)), lambda f: f["feed"])
-    )
-    same = (F.size("ref_ids") > 0) & (F.transform("feeds", lambda f: f["feed_id"]) == F.col("ref_ids"))
-    payloads = built.where(same).select(
+    complete = requested.join(lists, "task_id").where(F.size("_feeds") == F.size("ref_ids"))
+    return complete.select(
         "task_id",
         F.struct(
-            "job_id", "requested_at", F.lit(True).alias("ingest"), F.lit(REQUESTED_BY).alias("requested_by"), "feeds"
+            "job_id",
+            "requested_at",
+            F.lit(True).alias("ingest"),
+            F.lit(REQUESTED_BY).alias("requested_by"),
+            F.transform("_feeds", lambda f: f["feed"]).alias("feeds"),
         ).alias("payload"),
     )
-    stale = built.where(~F.coalesce(same, F.lit(False))).select(
+
+
+def stale_tasks(tasks: DataFrame, feeds: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
+    """Tasks that ask for no feed, or for one that is gone or has no URL, with the number of such feeds.
+
+    Found feeds are a subset of the requested positions, so the lists agree exactly when their lengths do.
+    """
+    requested, wanted = _wanted(tasks)
+    known = _with_url(feeds).select("feed_id")
+    found = salted_join(wanted, known, "feed_id", spread=["task_id", "pos"], how="inner", hot=hot)
+    counts = found.groupBy("task_id").agg(F.count(F.lit(1)).alias("_found"))
+    size = F.coalesce(F.size("ref_ids"), F.lit(0))
+    missing = size - F.coalesce("_found", F.lit(0))
+    return requested.join(counts, "task_id", "left").where((size < 1) | (missing > 0)).select(
         "task_id",
         "job_id",
-        F.when(F.coalesce(F.size("ref_ids"), F.lit(0)) < 1, F.lit("no_refs")).otherwise(F.lit("feed_missing")).alias("reason"),
-        (F.size("ref_ids") - F.size("feeds")).alias("missing_feeds"),
+        F.when(size < 1, F.lit("no_refs")).otherwise(F.lit("feed_missing")).alias("reason"),
+        F.greatest(missing, F.lit(0)).cast("bigint").alias("missing_feeds"),
     )
-    return payloads, stale

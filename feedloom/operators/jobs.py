@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.skew import CHUNK_ROWS, chunk_of, earlier, hot_keys, salted_join, since_reset
+from feedloom.operators.skew import CHUNK_ROWS, chunk_of, earlier, salted_join, since_reset
 
 # Task statuses and the job statuses that set lifecycle times.
 PROCESSED = ["completed", "failed", "cancelled"]
@@ -103,7 +103,7 @@ def task_outcomes(outcomes: DataFrame, tasks: DataFrame) -> DataFrame:
         "claim_expires_at",
         "item_total",
     )
-    joined = salted_join(outcomes, claim, "task_id", spread=["seq"], hot=hot_keys(outcomes, "task_id"))
+    joined = salted_join(outcomes, claim, "task_id", spread=["seq"])
     verdict = (
         F.when(F.col("_status").isNull(), "unknown_task")
         .when(~F.col("execution_id").eqNullSafe(F.col("_execution")), "stale_execution")

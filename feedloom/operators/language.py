@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import HashingTF, IndexToString, NGram, SQLTransformer, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def train_detector(documents: DataFrame, ngram: int = 3, features: int = 1 << 14
     """Fit a character n-gram model on ``text, lang``; one distributed aggregation per label."""
     labels = StringIndexer(inputCol="lang", outputCol="_label", handleInvalid="skip").fit(documents)
     stages = [
-        RegexTokenizer(inputCol="text", outputCol="_chars", pattern="(?s).", gaps=False, minTokenLength=1),
+        SQLTransformer(statement="SELECT *, split(lower(text), '') AS _chars FROM __THIS__"),
         NGram(n=ngram, inputCol="_chars", outputCol="_grams"),
         HashingTF(inputCol="_grams", outputCol="_features", numFeatures=features),
         NaiveBayes(

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.skew import CHUNK_ROWS, chunk_of, earlier, hot_keys, salted_join
+from feedloom.operators.skew import CHUNK_ROWS, chunk_of, earlier, salted_join
 from feedloom.session import cut_lineage
 
 MAX_ROUNDS = 32
@@ -39,10 +39,10 @@ def best_by_content(articles: DataFrame) -> DataFrame:
 def _heads(rows: DataFrame, articles: DataFrame) -> DataFrame:
     """One row per article key of the batch with its class and, where already known, its article."""
     first = rows.groupBy("article_key").agg(
-        F.min(F.struct("seq", "content_key")).alias("_head"), F.count(F.lit(1)).alias("key_rows")
+        F.min(F.struct("seq", "content_key")).alias("_head")
     )
     first = first.select(
-        "article_key", "key_rows", F.col("_head.seq").alias("head_seq"), F.col("_head.content_key").alias("content_key")
+        "article_key", F.col("_head.seq").alias("head_seq"), F.col("_head.content_key").alias("content_key")
     )
     contents = rows.where(F.col("content_key").isNotNull()).groupBy("content_key").agg(F.min("seq").alias("head_seq"))
     openers = contents.join(best_by_content(articles), "content_key", "left").select(
@@ -56,7 +56,6 @@ def _heads(rows: DataFrame, articles: DataFrame) -> DataFrame:
             "article_key",
             "head_seq",
             "content_key",
-            "key_rows",
             F.col("_stored").isNotNull().alias("is_stored"),
             F.when(F.col("_stored").isNull() & opens, F.col("stored_key")).alias("stored_key"),
             (F.col("content_key").isNotNull() & ~opens).alias("content_taken"),
@@ -73,7 +72,6 @@ def _heads(rows: DataFrame, articles: DataFrame) -> DataFrame:
         "article_key",
         "head_seq",
         "alias_seq",
-        "key_rows",
         follows.alias("follows"),
         (~aliased & ~follows).alias("is_root"),
         F.when(~follows, F.coalesce("stored_key", "article_key")).alias("target"),
@@ -139,8 +137,7 @@ def resolve(
     final = heads.join(followed, "article_key", "left").select(
         "article_key", "head_seq", "alias_seq", "is_root", F.coalesce("target", "_followed").alias("_target")
     )
-    hot = hot_keys(candidates, "article_key")
-    joined = salted_join(candidates, final, "article_key", spread=["seq"], hot=hot)
+    joined = salted_join(candidates, final, "article_key", spread=["seq"])
     aliased = F.coalesce(F.col("alias_seq") < F.col("seq"), F.lit(False))
     return (
         joined.withColumn("resolved_key", F.when(aliased, F.col("article_key")).otherwise(F.col("_target")))

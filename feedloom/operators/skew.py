@@ -11,12 +11,15 @@ Three shapes cover every operator of this package:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
+TRACKED_KEYS = 10_000
 MAX_SALTS = 4_096
 CHUNK_ROWS = 1_000_000
 
@@ -27,21 +30,16 @@ def chunk_of(seq: str | Column, width: int = CHUNK_ROWS) -> Column:
     return F.floor(col / F.lit(width))
 
 
-def hot_keys(rows: DataFrame, key: str, threshold: int | None = None, limit: int | None = None) -> DataFrame:
-    """``(key, copies)`` for the most frequent keys with at least ``threshold`` rows.
+def hot_keys(rows: DataFrame, key: str) -> dict[Any, int]:
+    """Number of salts for each key with at least ``HOT_ROWS`` rows, from one pass over the key column.
 
-    At most ``limit`` rows come back, so the frame may be broadcast. A key beyond the limit is smaller than
-    ``limit`` others, hence holds less than ``1 / limit`` of the rows. The order is total, so that both sides
-    of a join see the same keys.
+    The frequent keys come from a mergeable sketch: every task sends a bounded summary and no key is
+    shuffled. At most ``MAX_HOT_KEYS`` reach the driver. The sketch only decides where rows travel; a key it
+    misses is joined all the same, and holds too small a share of the rows to matter.
     """
-    threshold = HOT_ROWS if threshold is None else threshold
-    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        counted.where(F.col("_rows") >= threshold)
-        .orderBy(F.desc("_rows"), F.asc(key))
-        .limit(MAX_HOT_KEYS if limit is None else limit)
-        .select(key, F.least(F.ceil(F.col("_rows") / threshold) + 1, F.lit(MAX_SALTS)).cast("int").alias("_copies"))
-    )
+    top = rows.where(F.col(key).isNotNull()).select(F.expr(f"approx_top_k(`{key}`, {MAX_HOT_KEYS}, {TRACKED_KEYS})"))
+    found = top.first()[0] or []
+    return {r["item"]: min(-(-r["count"] // HOT_ROWS) + 1, MAX_SALTS) for r in found if r["count"] >= HOT_ROWS}
 
 
 def salted_join(
@@ -50,18 +48,23 @@ def salted_join(
     key: str,
     spread: Sequence[str],
     how: str = "left",
-    hot: DataFrame | None = None,
+    hot: dict[Any, int] | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` (unique on ``key``) with the rows of hot keys spread over salts.
 
-    The salt is a hash of the ``spread`` columns, not a random number, so that a re-run task sends
-    each row to the same place. Only lookup rows of hot keys are copied.
+    Without hot keys this is a plain join. The salt is a hash of the ``spread`` columns, not a random number, so
+    that a task that runs again sends each row to the same place. Only lookup rows of hot keys are copied.
     """
-    hot = F.broadcast(hot_keys(rows, key) if hot is None else hot)
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(lookup, key, how)
+    schema = StructType([StructField(key, rows.schema[key].dataType), StructField("_copies", IntegerType())])
+    # At most MAX_HOT_KEYS rows.
+    salts = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), schema))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
-    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.hash(*spread), copies)).drop("_copies")
+    left = rows.join(salts, key, "left").withColumn("_salt", F.pmod(F.hash(*spread), copies)).drop("_copies")
     right = (
-        lookup.join(hot, key, "left")
+        lookup.join(salts, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
         .drop("_copies")
     )

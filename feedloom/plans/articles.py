@@ -20,7 +20,7 @@ AS_OF = "2025-01-01 00:00:00"
 
 @query("identity_text", f"SELECT doc_id, md5({M.ident_sql('text')}) AS digest FROM documents")
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(identity_text(F.col("text"))).alias("digest"))
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", F.md5(identity_text(F.col("text"))).alias("digest"))
 
 
 _TITLE = "string_split(text, chr(10))[1]"
@@ -40,7 +40,7 @@ def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
     summary = F.when(F.col("doc_id") % 5 != 0, F.col("text"))
     authors = F.array(F.concat(F.lit("Ada-"), "source"))
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         "doc_id",
         article_key(F.concat(F.lit("u"), "doc_id"), title, authors, F.upper("source"), at).alias("article_key"),
         content_key(title, summary, F.col("source"), F.lit(None).cast("timestamp")).alias("content_key"),
@@ -82,16 +82,16 @@ def _template_sql() -> str:
 
 @query("authors_clean", _template_sql())
 def authors_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    parts = table(spark, sf_dir, "part", spread=True).select("p_partkey", "p_name", "p_type")
     name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100))
     fill = {"{a}": name, "{b}": F.concat(F.lit("Éva "), F.initcap("p_type")), "{w}": F.substring_index(name, " ", 1)}
     byline = F.element_at(F.array(*[F.lit(t) for t, _ in BYLINES]), (F.col("p_partkey") % len(BYLINES) + 1).cast("int"))
     for mark, value in fill.items():
         byline = F.replace(byline, F.lit(mark), value)
     as_list = F.when(F.col("p_partkey") % 2 == 0, F.array(byline))
-    rows = parts.select("p_partkey", as_list.alias("authors"), F.when(F.col("p_partkey") % 3 != 1, byline).alias("author"), byline.alias("_b"))
-    author = F.when(F.col("authors").isNull(), F.col("_b")).otherwise(F.col("author"))
-    return rows.select("p_partkey", F.array_join(clean_authors(F.col("authors"), author), "|").alias("authors"))
+    author = F.when((F.col("p_partkey") % 2 != 0) | (F.col("p_partkey") % 3 != 1), byline)
+    rows = parts.select("p_partkey", as_list.alias("authors"), author.alias("author"))
+    return rows.select("p_partkey", F.array_join(clean_authors("authors", "author"), "|").alias("authors"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

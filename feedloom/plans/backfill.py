@@ -62,7 +62,7 @@ def language_backfill_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("language_model_eval")
 def language_model_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text", "lang")
     held_out = F.col("doc_id") % 5 == 0
     detect = model_detector(train_detector(docs.where(~held_out)))
     return detect(docs.where(held_out)).groupBy("lang", F.col("label").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from feedloom.operators import feeds as O
 from feedloom.operators import quality as Q
 from feedloom.plans import mapping as M
 from feedloom.plans.registry import query, sql_stamp, stamp, table
+from feedloom.session import cut_lineage
 from feedloom.sources.results import parse_results
 
 
@@ -64,25 +65,28 @@ def latest_published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as tasks asking for the parts of their line items, in part order; orders without items ask for none."""
+    """Orders as tasks asking for the parts of their line items, in part order; orders without items ask for none.
+
+    The frame stands for a stored task table, so it is written once and read by each use.
+    """
     parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").groupBy("l_orderkey")
     ids = parts.agg(F.sort_array(F.collect_set("l_partkey")).alias("ref_ids")).withColumnRenamed("l_orderkey", "o_orderkey")
-    return table(spark, sf_dir, "orders").join(ids, "o_orderkey", "left").select(
+    tasks = table(spark, sf_dir, "orders").join(ids, "o_orderkey", "left").select(
         F.col("o_orderkey").alias("task_id"),
         F.concat(F.lit("job"), "o_custkey").alias("job_id"),
         F.col("o_orderdate").alias("requested_at"),
         "ref_ids",
     )
+    return cut_lineage(tasks)
 
 
-def _payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    feeds = table(spark, sf_dir, "part").select(
+def _part_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as feeds; some have no URL, some belong to no company."""
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"),
         F.when(F.col("p_partkey") % 50 != 0, F.concat(F.lit("https://f.example/"), "p_partkey")).alias("url"),
         F.when(F.col("p_size") < 40, F.col("p_size")).cast("bigint").alias("company_id"),
     )
-    runtime = O.feed_runtime(runtime_results(table(spark, sf_dir, "events")))
-    return O.feed_payloads(_order_parts(spark, sf_dir), feeds, M.companies(spark, sf_dir), runtime)
 
 
 _REFS = """
@@ -108,7 +112,10 @@ _REFS = """
         WHERE wanted = found GROUP BY t.task_id""",
 )
 def feed_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payloads, _ = _payloads(spark, sf_dir)
+    runtime = O.feed_runtime(runtime_results(table(spark, sf_dir, "events")))
+    payloads = O.feed_payloads(
+        _order_parts(spark, sf_dir), _part_feeds(spark, sf_dir), M.companies(spark, sf_dir), runtime
+    )
     dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
 
     def line(f):
@@ -135,8 +142,7 @@ def feed_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM tasks WHERE wanted = 0 OR wanted > found""",
 )
 def stale_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, stale = _payloads(spark, sf_dir)
-    return stale.withColumn("missing_feeds", F.coalesce("missing_feeds", F.lit(0)).cast("bigint"))
+    return O.stale_tasks(_order_parts(spark, sf_dir), _part_feeds(spark, sf_dir))
 
 
 @query(

@@ -65,7 +65,7 @@ CONTEXT_SQL = f"""
 
 def result_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as result events with one to three sources; the last one has no usable URL."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     published = F.when(~every("doc_id", 7), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60))
     byline = F.concat(F.lit("By Ada "), F.initcap("source"), F.lit(" and Alan Turing"))
     title = F.substring_index("text", "\n", 1)

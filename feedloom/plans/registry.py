@@ -30,8 +30,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# A Parquet file below this size is one row group as a rule, which one task reads alone.
+ROW_GROUP_BYTES = 128 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table; ``spread`` lets the rows of a file too small to be split use all cores.
+
+    Use it in front of costly row expressions. Larger files are split by the scan and never shuffled for this.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    if spread:
+        jvm = spark.sparkContext._jvm
+        file = jvm.org.apache.hadoop.fs.Path(path)
+        fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.getContentSummary(file).getLength() < ROW_GROUP_BYTES:
+            return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
 
 
 def stamp(col: str | Column) -> Column:

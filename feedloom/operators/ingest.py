@@ -12,7 +12,7 @@ from feedloom.operators.candidates import build_candidates
 from feedloom.operators.feeds import feed_runtime
 from feedloom.operators.language import Detector
 from feedloom.operators.resolve import resolve
-from feedloom.operators.skew import CHUNK_ROWS
+from feedloom.operators.skew import CHUNK_ROWS, restrict
 from feedloom.schemas import ARTICLES, FEED_RUNTIME
 from feedloom.session import cut_lineage
 from feedloom.sources.store import KeyedTable
@@ -59,14 +59,24 @@ def ingest_candidates(
     articles = store.articles.read(version - 1)
     resolved = cut_lineage(resolve(candidates, articles, chunk_rows, order))
     store.articles.write(merge.changed_articles(articles, resolved, as_of), version)
-    authors = merge.author_dim(resolved)
-    store.authors.write(authors.join(store.authors.read(version - 1), "normalized_name", "left_anti"), version)
+    store.authors.write(_new_rows(merge.author_dim(resolved), store.authors, version), version)
     store.author_lists.write(merge.last_author_lists(resolved), version)
-    links = merge.feed_links(resolved, as_of)
-    store.feed_links.write(links.join(store.feed_links.read(version - 1), ["article_key", "feed_id"], "left_anti"), version)
+    store.feed_links.write(_new_rows(merge.feed_links(resolved, as_of), store.feed_links, version), version)
     store.urls.write(merge.url_owners(resolved), version)
 
 
+def _new_rows(rows: DataFrame, table: KeyedTable, version: int) -> DataFrame:
+    """The rows whose keys the table did not have before ``version``."""
+    return rows.join(restrict(table.read(version - 1), rows, table.keys), list(table.keys), "left_anti")
+
+
+def update_runtime(results: DataFrame, table: KeyedTable, version: int, chunk_rows: int = CHUNK_ROWS) -> None:
+    """Fold a batch of results into the stored feed health."""
+    before = restrict(table.read(version - 1), results, ["feed_id"])
+    changed = feed_runtime(results, before, chunk_rows)
+    table.write(changed.join(results.select("feed_id").distinct(), "feed_id", "left_semi"), version)
+
+
 def ingest_events(
     events: DataFrame,
     contexts: DataFrame,
@@ -88,5 +98,4 @@ def ingest_events(
         F.col("new_last_update").alias("feed_update"),
         F.array_max(F.transform("sources", lambda s: s["published_at"])).alias("article_at"),
     )
-    before = store.runtime.read(version - 1).join(results.select("feed_id").distinct(), "feed_id", "left_semi")
-    store.runtime.write(feed_runtime(results, before, chunk_rows), version)
+    update_runtime(results, store.runtime, version, chunk_rows)

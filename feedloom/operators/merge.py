@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.language import is_unknown
 from feedloom.functions.text import UNKNOWN, identity_text
 from feedloom.functions.urls import url_variants
-from feedloom.operators.skew import salted_join
+from feedloom.operators.skew import restrict, salted_join
 
 ARTICLE_COLUMNS = [
     "article_key", "content_key", "published_at", "ingested_at", "canonical_url", "title", "summary",
@@ -72,7 +72,8 @@ def changed_articles(articles: DataFrame, resolved: DataFrame, as_of: Column) ->
     Stored publication, content key and known language stay; other fields take the batch's last usable
     value. ``as_of`` becomes ``ingested_at`` of new articles.
     """
-    return _merged(articles, resolved, as_of, "right")
+    touched = resolved.where("is_root").select(F.col("resolved_key").alias("article_key"))
+    return _merged(restrict(articles, touched, ["article_key"]), resolved, as_of, "right")
 
 
 def merge_articles(articles: DataFrame, resolved: DataFrame, as_of: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.keys import clean_ref_ids
+from feedloom.operators.skew import hot_keys, salted_join
 
 # Accepted result statuses and the limits of the result contract.
 STATUSES = ["ok", "success", "not_modified", "error"]
@@ -102,21 +103,27 @@ def completeness_violations(tasks: DataFrame, events: DataFrame) -> DataFrame:
     ids = tasks.select("task_id", F.col("job_id").alias("task_job"), clean_ref_ids(F.col("ref_ids")).alias("ids"))
     expected = ids.select("task_id", F.explode(F.array_distinct("ids")).alias("feed_id"), F.lit(True).alias("wanted"))
     counted = events.groupBy("task_id", "feed_id", "job_id").agg(F.count(F.lit(1)).alias("n"))
-    seen = counted.groupBy("task_id", "feed_id").agg(F.sum("n").alias("n"))
+    # Events of unknown tasks drop out here.
+    known = salted_join(
+        counted,
+        ids.select("task_id", "task_job"),
+        "task_id",
+        spread=["feed_id", "job_id"],
+        how="inner",
+        hot=hot_keys(events, "task_id"),
+    )
+    stray = ~F.col("job_id").eqNullSafe(F.col("task_job"))
+    seen = known.groupBy("task_id", "feed_id").agg(F.sum("n").alias("n"))
     matched = expected.join(seen, ["task_id", "feed_id"], "full_outer")
-    known = ids.select("task_id").withColumn("known", F.lit(True))
     rules = F.array(
         F.when(F.col("n").isNull(), F.lit("missing")),
         F.when(F.col("wanted").isNull(), F.lit("unexpected")),
         F.when(F.col("n") > 1, F.lit("duplicate")),
     )
-    by_feed = matched.join(known, "task_id", "left_semi").select(
-        "task_id", "feed_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"), F.coalesce("n", F.lit(0)).alias("n")
-    )
-    per_job = counted.groupBy("task_id", "job_id").agg(F.sum("n").alias("n"))
+    broken = F.explode(F.filter(rules, lambda r: r.isNotNull()))
+    by_feed = matched.select("task_id", "feed_id", broken.alias("rule"), F.coalesce("n", F.lit(0)).alias("n"))
     wrong_job = (
-        per_job.join(ids.select("task_id", "task_job"), "task_id")
-        .where(~F.col("job_id").eqNullSafe(F.col("task_job")))
+        known.where(stray)
         .groupBy("task_id")
         .agg(F.sum("n").alias("n"))
         .select("task_id", F.lit(None).cast("bigint").alias("feed_id"), F.lit("wrong_job").alias("rule"), "n")

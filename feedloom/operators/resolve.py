@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.skew import CHUNK_ROWS, chunk_of, earlier, salted_join
+from feedloom.operators.skew import CHUNK_ROWS, chunk_of, earlier, restrict, salted_join
 from feedloom.session import cut_lineage
 
 MAX_ROUNDS = 32
@@ -38,17 +38,20 @@ def best_by_content(articles: DataFrame) -> DataFrame:
 
 def _heads(rows: DataFrame, articles: DataFrame) -> DataFrame:
     """One row per article key of the batch with its class and, where already known, its article."""
-    first = rows.groupBy("article_key").agg(
-        F.min(F.struct("seq", "content_key")).alias("_head")
+    first = rows.groupBy("article_key").agg(F.min(F.struct("seq", "content_key")).alias("_head"))
+    first = cut_lineage(
+        first.select(
+            "article_key", F.col("_head.seq").alias("head_seq"), F.col("_head.content_key").alias("content_key")
+        )
     )
-    first = first.select(
-        "article_key", F.col("_head.seq").alias("head_seq"), F.col("_head.content_key").alias("content_key")
+    contents = cut_lineage(
+        rows.where(F.col("content_key").isNotNull()).groupBy("content_key").agg(F.min("seq").alias("head_seq"))
     )
-    contents = rows.where(F.col("content_key").isNotNull()).groupBy("content_key").agg(F.min("seq").alias("head_seq"))
-    openers = contents.join(best_by_content(articles), "content_key", "left").select(
+    best = best_by_content(restrict(articles, contents, ["content_key"]))
+    openers = contents.join(best, "content_key", "left").select(
         "head_seq", "stored_key", F.lit(True).alias("opens_content")
     )
-    stored = articles.select("article_key").withColumn("_stored", F.lit(True))
+    stored = restrict(articles, first, ["article_key"]).select("article_key").withColumn("_stored", F.lit(True))
     heads = first.join(stored, "article_key", "left").join(openers, "head_seq", "left")
     opens = F.coalesce("opens_content", F.lit(False))
     heads = cut_lineage(

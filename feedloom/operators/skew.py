@@ -22,6 +22,8 @@ MAX_HOT_KEYS = 1_000
 TRACKED_KEYS = 10_000
 MAX_SALTS = 4_096
 CHUNK_ROWS = 1_000_000
+# A million short keys take some ten megabytes.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def chunk_of(seq: str | Column, width: int = CHUNK_ROWS) -> Column:
@@ -71,6 +73,24 @@ def salted_join(
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def bounded(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcast if a count shows that they are few, else as they are."""
+    few = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    return F.broadcast(keys) if few else keys
+
+
+def restrict(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a large table whose keys occur in ``wanted``.
+
+    For few keys the table is filtered where it is read. For many keys it comes back whole, as the join that
+    follows has to move it anyway; ask only for what that join would match.
+    """
+    few = wanted.select(*keys).distinct()
+    if few.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
+        return rows
+    return rows.join(F.broadcast(few), list(keys), "left_semi")
+
+
 def earlier(
     rows: DataFrame,
     key: str,

@@ -70,27 +70,36 @@ def runtime_counters(deltas: DataFrame) -> DataFrame:
 def worker_stats(
     sessions: DataFrame, tasks: DataFrame, jobs: DataFrame, deltas: DataFrame, as_of: Column
 ) -> DataFrame:
-    """One row of service figures, put together from named one-row counts."""
-    named = lambda df, name, value: df.select(F.lit(name).alias("name"), value.alias("value"))
-    pending = tasks.where(F.col("status") == "pending")
-    one = lambda df, name: named(df.agg(F.count(F.lit(1)).alias("n")), name, F.col("n"))
-    by_type = pending.where(F.col("task_type").isin(FETCH_TASKS, EMBEDDING_TASKS)).groupBy("task_type").count()
+    """One row of service figures; tasks are read once and counted per job before they meet the jobs."""
+    pending = F.col("status") == "pending"
+    per_job = tasks.where(pending | _expired(as_of)).groupBy("job_id").agg(
+        F.count_if(pending & (F.col("task_type") == FETCH_TASKS)).alias("rss"),
+        F.count_if(pending & (F.col("task_type") == EMBEDDING_TASKS)).alias("embedding"),
+        F.count_if(_expired(as_of)).alias("expired"),
+    )
+    open_job = _open_jobs(jobs).withColumn("_open", F.lit(True))
     figures = [
-        one(active_sessions(sessions, as_of), "connected_workers"),
-        by_type.select(
-            F.when(F.col("task_type") == FETCH_TASKS, "pending_rss_tasks").otherwise("pending_embedding_tasks").alias("name"),
-            F.col("count").alias("value"),
-        ),
-        named(expired_claims(tasks, jobs, as_of), "expired_claims", F.col("expired_claims")),
-        runtime_counters(deltas).select(F.col("counter_name").alias("name"), F.col("counter_value").alias("value")),
+        _named(active_sessions(sessions, as_of).agg(F.count(F.lit(1)).alias("n")), "connected_workers", "n"),
+        per_job.join(open_job, "job_id", "left")
+        .agg(
+            F.sum("rss").alias("pending_rss_tasks"),
+            F.sum("embedding").alias("pending_embedding_tasks"),
+            F.sum(F.when(F.col("_open"), F.col("expired"))).alias("expired_claims"),
+        )
+        .unpivot([], ["pending_rss_tasks", "pending_embedding_tasks", "expired_claims"], "name", "value"),
+        runtime_counters(deltas).toDF("name", "value"),
     ]
     names = ["connected_workers", "pending_rss_tasks", "pending_embedding_tasks", "expired_claims", *RUNTIME_COUNTERS]
-    rows = reduce(DataFrame.unionByName, figures)
-    return rows.agg(
-        *[F.coalesce(F.sum(F.when(F.col("name") == n, F.col("value"))), F.lit(0)).cast("bigint").alias(n) for n in names]
+    value = lambda n: F.sum(F.when(F.col("name") == n, F.col("value")))
+    return reduce(DataFrame.unionByName, figures).agg(
+        *[F.coalesce(value(n), F.lit(0)).cast("bigint").alias(n) for n in names]
     )
 
 
+def _named(counted: DataFrame, name: str, value: str) -> DataFrame:
+    return counted.select(F.lit(name).alias("name"), F.col(value).alias("value"))
+
+
 def worker_usage(uses: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Per API key and worker: number of uses, and type, version and time of the last one."""
     last = F.max(F.struct("seq", "at", "worker_type", "worker_version"))

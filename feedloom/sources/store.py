@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from feedloom.operators.skew import bounded
+
 
 @dataclass(frozen=True)
 class KeyedTable:
@@ -62,7 +64,9 @@ class KeyedTable:
             .parquet(*[f"{self.root}/changes/version={v}" for v in changes])
         )
         newest = logged.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "version").alias("_row")).select("_row.*")
-        untouched = base.join(newest.select(*self.keys), list(self.keys), "left_anti")
+        if not bases:
+            return newest
+        untouched = base.join(bounded(newest.select(*self.keys)), list(self.keys), "left_anti")
         return untouched.select(names).unionByName(newest)
 
     def compact(self, version: int) -> None:

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.operators.feeds import feed_runtime
-from feedloom.operators.ingest import FeedStore, ingest_candidates, ingest_events
+from feedloom.operators.ingest import FeedStore, ingest_candidates, ingest_events, update_runtime
 from feedloom.operators.jobs import PROCESSED
 from feedloom.operators.language import Detector
 from feedloom.operators.quality import split_valid
@@ -80,11 +79,7 @@ def stream_feed_runtime(
     results: DataFrame, runtime: KeyedTable, checkpoint: str, chunk_rows: int = CHUNK_ROWS
 ) -> StreamingQuery:
     """Keep feed health up to date from a stream of results."""
-
-    def work(batch: DataFrame, version: int) -> None:
-        before = runtime.read(version - 1).join(batch.select("feed_id").distinct(), "feed_id", "left_semi")
-        runtime.write(feed_runtime(batch, before, chunk_rows), version)
-
+    work = lambda batch, version: update_runtime(batch, runtime, version, chunk_rows)
     return _each_batch(results, work, checkpoint, "append")
 
 

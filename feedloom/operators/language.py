@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, IndexToString, NGram, SQLTransformer, StringIndexer
@@ -55,6 +56,35 @@ def model_detector(model: PipelineModel) -> Detector:
     return lambda df: model.transform(df).drop(*scratch)
 
 
+def predictor_detector(load: Callable[[], object]) -> Detector:
+    """A detector from any object with ``predict(text, k) -> (labels, scores)``.
+
+    ``load`` runs once per task and batch stream on the executors. A model that cannot be loaded, or fails on a
+    text, leaves the label null, hence the language unknown.
+    """
+
+    @F.pandas_udf("string")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            model = load()
+        except Exception:  # noqa: BLE001
+            model = None
+
+        def best(text: str | None) -> str | None:
+            if model is None or not text:
+                return None
+            try:
+                labels, _ = model.predict(text, k=1)
+            except Exception:  # noqa: BLE001
+                return None
+            return str(labels[0]) if len(labels) else None
+
+        for texts in batches:
+            yield texts.map(best).astype(object)
+
+    return lambda df: df.withColumn("label", label("text"))
+
+
 def backfill_language(
     articles: DataFrame,
     detector: Detector | None = None,

@@ -26,10 +26,9 @@ CHUNK_ROWS = 1_000_000
 MAX_BROADCAST_KEYS = 1_000_000
 
 
-def chunk_of(seq: str | Column, width: int = CHUNK_ROWS) -> Column:
+def chunk_of(seq: str, width: int = CHUNK_ROWS) -> Column:
     """Chunk number of a dense integer sequence; grows with ``seq`` as the folds below require."""
-    col = F.col(seq) if isinstance(seq, str) else seq
-    return F.floor(col / F.lit(width))
+    return F.expr(f"`{seq}` div {int(width)}")
 
 
 def hot_keys(rows: DataFrame, key: str) -> dict[Any, int]:

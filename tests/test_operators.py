@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.functions.language import detection_text
 from feedloom.operators import feeds, jobs, language, quality, skew, workers
+from feedloom.sources import results as results_source
 
 T = datetime(2024, 1, 1)
 RESULT = (
@@ -173,3 +176,42 @@ def test_backfill(spark):
     batch = language.backfill_language(articles, detect, start_after=1, limit=5, key="id")
     assert [r.language for r in batch.orderBy("id").collect()] == ["xx", "xx", "en"]
     assert tuple(language.backfill_metrics(batch, key="id").first()) == (1, 0, 2)
+
+
+def test_predictor_detector(spark):
+    class Predictor:
+        def predict(self, text, k=1):
+            assert "\n" not in text and k == 1
+            if "broken" in text:
+                raise ValueError(text)
+            return (["__label__DE"], [0.9]) if "Bundestag" in text else ([], [])
+
+    rows = [(1, "Bundestag\n\nstimmt", None), (2, "broken", None), (3, "other", None), (4, "Bundestag", "fr"), (5, "", None)]
+    text = detection_text(F.col("title"), F.lit(" ")).alias("text")
+    frame = spark.createDataFrame(rows, "id long, title string, declared string").select("id", "declared", text)
+    got = language.assign_language(frame, language.predictor_detector(Predictor)).orderBy("id").collect()
+    assert [r.language for r in got] == ["de", "xx", "xx", "fr", "xx"]
+
+    def unavailable():
+        raise OSError("no model")
+
+    got = language.assign_language(frame, language.predictor_detector(unavailable)).orderBy("id").collect()
+    assert [r.language for r in got] == ["xx", "xx", "xx", "fr", "xx"]
+
+
+def test_envelopes_from_files(spark, tmp_path):
+    good = {"contract_version": "1", "result_events": [{"feed_id": 1, "job_id": "j", "status": "ok", "sources": []}]}
+    late = {"contract_version": "1", "result_events": [{"feed_id": 0, "job_id": "j", "status": "done", "new_etag": None}]}
+    bodies = [json.dumps(good), json.dumps(late), "{", json.dumps({"contract_version": ""}), '{"contract_version": "1"}']
+    lines = [json.dumps({"envelope_id": i, "body": b}) for i, b in enumerate(bodies)]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    parsed = results_source.read_results(spark, str(tmp_path))
+    accepted, rejected = quality.split_valid(parsed)
+    assert sorted(r.envelope_id for r in accepted.collect()) == [0, 4]
+    assert sorted(r.envelope_id for r in rejected.collect()) == [1, 2, 3]
+    found = quality.contract_violations(parsed).collect()
+    assert sorted((r.envelope_id, r.rule) for r in found) == [
+        (1, "feed_id"), (1, "status"), (2, "contract_version"), (2, "parse"), (3, "contract_version"),
+    ]
+    events = results_source.result_events(accepted).collect()
+    assert [(r.envelope_id, r.event_pos, r.feed_id) for r in events] == [(0, 0, 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.authors import clean_authors
@@ -113,7 +113,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "duplicate_hint",
-    f"""{M.CANDIDATES_SQL}, stored AS (SELECT * FROM cand WHERE event_seq % 10 = 0)
+    f"""{M.CANDIDATES_SQL}, stored AS (SELECT * FROM cand WHERE event_seq IN (SELECT doc_id FROM labels WHERE quality = 1))
         SELECT event_seq, CAST(source_pos AS INTEGER) AS source_pos,
             row_number() OVER (PARTITION BY article_key ORDER BY event_seq, source_pos) > 1
             OR (content_key IS NOT NULL AND row_number() OVER (PARTITION BY content_key ORDER BY event_seq, source_pos) > 1)
@@ -123,43 +123,54 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def duplicate_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = cut_lineage(_candidates(spark, sf_dir).select("seq", "event_seq", "article_key", "content_key"))
-    stored = batch.where(F.col("event_seq") % 10 == 0).dropDuplicates(["article_key"])
+    stored = batch.join(_good(spark, sf_dir, "event_seq"), "event_seq", "left_semi").dropDuplicates(["article_key"])
     return flag_duplicates(batch, stored).select("event_seq", "seq.source_pos", "duplicate_hint")
 
 
+def _good(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Ids of the documents labelled as good; they play the part of what is stored already."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias(name))
+
+
+def _key() -> Column:
+    return F.concat_ws("-", F.lit("k"), "lang", "n_chars")
+
+
+def _content(n: Column) -> Column:
+    coarse = F.concat_ws("-", F.lit("c"), "source", F.expr("n_chars div 100"))
+    return F.when(n % 11 == 0, F.lit(None)).when(n % 3 == 0, F.md5("text")).otherwise(coarse)
+
+
 def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents below 400 with a multiple of ten as stored articles; their content is that of another document."""
+    """Good documents as stored articles, the first of each key; their content is that of a later document."""
     docs = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
-    other = docs.select((n - 5).alias("doc_id"), _content(n, F.col("text")).alias("content_key"))
-    stored = docs.where((n < 400) & (n % 10 == 0)).select("doc_id", "lang")
+    other = docs.select((n - 5).alias("doc_id"), _content(n).alias("content_key"))
+    first = docs.join(_good(spark, sf_dir, "doc_id"), "doc_id", "left_semi").groupBy(_key().alias("article_key"))
+    stored = first.agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"))
     return stored.join(other, "doc_id", "left").select(
-        F.concat(F.lit("k"), n).alias("article_key"),
+        "article_key",
         "content_key",
         F.timestamp_seconds(F.lit(1600000000) + n * 60).alias("published_at"),
         F.timestamp_seconds(F.lit(1700000000) + n % 40).alias("ingested_at"),
         F.concat(F.lit("https://old.example/"), n).alias("canonical_url"),
         F.concat(F.lit("old "), n).alias("title"),
-        F.when(n % 20 == 0, "old summary").alias("summary"),
+        F.when(n % 2 == 0, "old summary").alias("summary"),
         F.lit(None).cast("string").alias("image_url"),
         F.lit("be").alias("country"),
-        F.when(n % 30 == 0, "xx").when(n % 30 == 10, "").otherwise(F.col("lang")).alias("language"),
-        F.when(n % 40 == 0, n).alias("company_id"),
+        F.when(n % 3 == 0, "xx").when(n % 3 == 1, "").otherwise(F.col("lang")).alias("language"),
+        F.when(n % 4 == 0, n).alias("company_id"),
     )
 
 
-def _content(n, text):
-    return F.when(n % 11 == 0, F.lit(None)).when(n % 3 == 0, F.md5(text)).otherwise(F.concat(F.lit("c"), n % 230))
-
-
 def batch_candidates(docs: DataFrame) -> DataFrame:
     """Documents in order as candidates that share article keys and content keys."""
     n = F.col("doc_id")
     return docs.select(
         n.alias("seq"),
         (n % 9).alias("feed_id"),
-        F.concat(F.lit("k"), n % 400).alias("article_key"),
-        _content(n, F.col("text")).alias("content_key"),
+        _key().alias("article_key"),
+        _content(n).alias("content_key"),
         F.when(n % 4 != 0, F.timestamp_seconds(F.lit(1704067200) + n * 60)).alias("published_at"),
         F.concat(F.lit("https://new.example/"), n).alias("canonical_url"),
         F.array(
@@ -178,16 +189,18 @@ def batch_candidates(docs: DataFrame) -> DataFrame:
 # A row-at-a-time walk over the batch: maps from keys to articles are carried from row to row.
 _WALK = """
     WITH RECURSIVE content AS (
-        SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN md5(text) ELSE concat('c', doc_id % 230) END AS ck
+        SELECT doc_id, lang, concat_ws('-', 'k', lang, n_chars) AS k,
+            CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN md5(text) ELSE concat_ws('-', 'c', source, n_chars // 100) END AS ck
         FROM documents),
     stored AS (
-        SELECT d.doc_id, concat('k', d.doc_id) AS k, c.ck, TIMESTAMP '1970-01-01' + (1600000000 + d.doc_id * 60) * INTERVAL 1 SECOND AS published_at,
+        SELECT d.doc_id, d.k, c.ck, TIMESTAMP '1970-01-01' + (1600000000 + d.doc_id * 60) * INTERVAL 1 SECOND AS published_at,
             TIMESTAMP '1970-01-01' + (1700000000 + d.doc_id % 40) * INTERVAL 1 SECOND AS ingested_at, lang
-        FROM documents d LEFT JOIN content c ON c.doc_id = d.doc_id + 5 WHERE d.doc_id < 400 AND d.doc_id % 10 = 0),
+        FROM (SELECT k, min(doc_id) AS doc_id, min(lang) AS lang FROM content WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY k) d
+        LEFT JOIN (SELECT doc_id, ck FROM content) c ON c.doc_id = d.doc_id + 5),
     best AS (SELECT ck, arg_max(k, doc_id) AS k FROM stored WHERE ck IS NOT NULL GROUP BY ck),
     batch AS (
-        SELECT b.doc_id, concat('k', b.doc_id % 400) AS k, b.ck, s.k AS by_key, t.k AS by_content
-        FROM content b LEFT JOIN stored s ON s.k = concat('k', b.doc_id % 400) LEFT JOIN best t ON t.ck = b.ck),
+        SELECT b.doc_id, b.k, b.ck, s.k AS by_key, t.k AS by_content
+        FROM content b LEFT JOIN stored s ON s.k = b.k LEFT JOIN best t ON t.ck = b.ck),
     walk AS (
         SELECT -1::BIGINT AS doc_id, NULL::VARCHAR AS art, false AS root, MAP {'': ''} AS keys, MAP {'': ''} AS contents
         UNION ALL
@@ -203,13 +216,12 @@ _WALK = """
 
 @query("article_resolution", f"{_WALK} SELECT doc_id AS seq, art AS resolved_key, root AS is_root FROM resolved")
 def article_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A small chunk width, so that groups span chunks even on little data.
     return _resolved(spark, sf_dir).select("seq", "resolved_key", "is_root")
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = batch_candidates(table(spark, sf_dir, "documents"))
-    return resolve(batch, stored_articles(spark, sf_dir), chunk_rows=100)
+    return resolve(batch, stored_articles(spark, sf_dir))
 
 
 @query(
@@ -241,15 +253,15 @@ UPSERT_SQL = f"""{_WALK},
                 CASE WHEN r.doc_id % 5 <> 0 THEN md5(text) END AS summary, CASE WHEN r.doc_id % 7 = 0 THEN concat('https://i.example/', r.doc_id) END AS image,
                 CASE WHEN r.doc_id % 8 = 0 THEN r.doc_id END AS company,
                 CASE r.doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'xx' ELSE 'fr' END AS country, CASE WHEN r.doc_id % 2 = 0 THEN 'xx' ELSE lang END AS language
-            FROM resolved r JOIN documents USING (doc_id) JOIN content c USING (doc_id) WHERE root)
+            FROM resolved r JOIN documents USING (doc_id) JOIN (SELECT doc_id, ck FROM content) c USING (doc_id) WHERE root)
         GROUP BY art)
     SELECT coalesce(art, k) AS article_key, coalesce(s.ck, f.ck) AS content_key, {sql_stamp('coalesce(s.published_at, f.published_at)')} AS published_at,
         {sql_stamp(f"coalesce(s.ingested_at, TIMESTAMP '{AS_OF}')")} AS ingested_at,
         coalesce(f.url, concat('https://old.example/', s.doc_id)) AS canonical_url, coalesce(f.title, 'old ' || s.doc_id, '') AS title,
-        coalesce(f.summary, CASE WHEN s.doc_id % 20 = 0 THEN 'old summary' END) AS summary, f.image AS image_url,
-        coalesce(f.company, CASE WHEN s.doc_id % 40 = 0 THEN s.doc_id END) AS company_id,
+        coalesce(f.summary, CASE WHEN s.doc_id % 2 = 0 THEN 'old summary' END) AS summary, f.image AS image_url,
+        coalesce(f.company, CASE WHEN s.doc_id % 4 = 0 THEN s.doc_id END) AS company_id,
         coalesce(f.country, CASE WHEN s.doc_id IS NOT NULL THEN 'be' END, 'xx') AS country,
-        CASE WHEN s.doc_id IS NOT NULL AND s.doc_id % 30 NOT IN (0, 10) THEN s.lang WHEN art IS NULL THEN CASE s.doc_id % 30 WHEN 0 THEN 'xx' ELSE '' END
+        CASE WHEN s.doc_id IS NOT NULL AND s.doc_id % 3 = 2 THEN s.lang WHEN art IS NULL THEN CASE s.doc_id % 3 WHEN 0 THEN 'xx' ELSE '' END
             ELSE coalesce(f.language, 'xx') END AS language
     FROM fold f FULL JOIN stored s ON s.k = f.art
 """
@@ -283,8 +295,9 @@ def _by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "author_bridge",
-    f"""WITH last AS (SELECT doc_id % 400 AS k, max(doc_id) AS doc_id FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
-        SELECT concat('k', k) AS article_key, position, normalized_name, name AS display_name FROM last JOIN {_NAMED} USING (doc_id)""",
+    f"""WITH last AS (
+            SELECT concat_ws('-', 'k', lang, n_chars) AS k, max(doc_id) AS doc_id FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+        SELECT k AS article_key, position, normalized_name, name AS display_name FROM last JOIN {_NAMED} USING (doc_id)""",
 )
 def author_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _by_key(spark, sf_dir)

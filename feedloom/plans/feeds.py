@@ -149,22 +149,24 @@ def stale_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "completeness_violations",
     """WITH refs AS (SELECT DISTINCT l_orderkey AS task_id, l_partkey AS feed_id FROM lineitem WHERE l_partkey > 0),
         seen AS (
-            SELECT task_id, CASE WHEN (feed_id + task_id) % 11 = 0 THEN feed_id + 1000000 ELSE feed_id END AS feed_id,
+            SELECT CASE WHEN (feed_id + task_id) % 7 = 0 THEN -1 ELSE task_id END AS task_id,
+                CASE WHEN (feed_id + task_id) % 11 = 0 THEN feed_id + 1000000 ELSE feed_id END AS feed_id,
                 unnest(range(CASE WHEN (feed_id + task_id) % 13 = 0 THEN 2 ELSE 1 END)) AS copy, feed_id % 17 = 0 AS wrong
-            FROM refs WHERE (feed_id + task_id) % 7 <> 0),
-        n AS (SELECT task_id, feed_id, count(*) AS n FROM seen GROUP BY ALL)
+            FROM refs),
+        n AS (SELECT task_id, feed_id, count(*) AS n FROM seen WHERE task_id >= 0 GROUP BY ALL)
         SELECT task_id, feed_id, 'missing' AS rule, 0 AS n FROM refs ANTI JOIN n USING (task_id, feed_id)
         UNION ALL SELECT task_id, feed_id, 'unexpected', n FROM n ANTI JOIN refs USING (task_id, feed_id)
         UNION ALL SELECT task_id, feed_id, 'duplicate', n FROM n WHERE n > 1
-        UNION ALL SELECT task_id, NULL, 'wrong_job', count(*) FROM seen WHERE wrong GROUP BY task_id
+        UNION ALL SELECT task_id, NULL, 'wrong_job', count(*) FROM seen WHERE wrong AND task_id >= 0 GROUP BY task_id
         UNION ALL SELECT o_orderkey, NULL, 'no_refs', 0 FROM orders WHERE o_orderkey NOT IN (SELECT task_id FROM refs)""",
 )
 def completeness_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _order_parts(spark, sf_dir)
     both = F.col("feed_id") + F.col("task_id")
     asked = tasks.select("task_id", "job_id", F.explode("ref_ids").alias("feed_id")).where(F.col("feed_id") > 0)
-    seen = asked.where(both % 7 != 0).select(
-        "task_id",
+    seen = asked.select(
+        # Events of a task that does not exist leave their feed missing.
+        F.when(both % 7 == 0, -1).otherwise(F.col("task_id")).alias("task_id"),
         F.when(both % 11 == 0, F.col("feed_id") + 1000000).otherwise(F.col("feed_id")).alias("feed_id"),
         F.when(F.col("feed_id") % 17 == 0, "other").otherwise(F.col("job_id")).alias("job_id"),
         F.explode(F.sequence(F.lit(1), F.when(both % 13 == 0, 2).otherwise(1))).alias("copy"),

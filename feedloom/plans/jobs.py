@@ -319,10 +319,10 @@ def reports_of(events: DataFrame) -> DataFrame:
 
 
 def _leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as leases, expiring on the first days of the event log."""
+    """Customers as leases, expiring on the first days of the event log; the first reports name no known lease."""
     day = F.make_dt_interval((F.col("c_custkey") % 6 * 4).cast("int"))
-    return table(spark, sf_dir, "customer").where(F.col("c_custkey") % 8 != 0).select(
-        F.col("c_custkey").alias("lease_id"), (_ntz("2024-01-01 00:00:00") + day).alias("expires_at")
+    return table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") + 100).alias("lease_id"), (_ntz("2024-01-01 00:00:00") + day).alias("expires_at")
     )
 
 
@@ -331,8 +331,8 @@ def _leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH known AS (
             SELECT event_id AS seq, user_id * 10 + event_id % 10 AS lease_id, ts, CASE event_type WHEN 'error' THEN 'failed' ELSE 'completed' END AS s,
                 concat('n', event_id % 2) AS n,
-                CASE WHEN c_custkey % 8 <> 0 THEN TIMESTAMP '2024-01-01' + (c_custkey % 6 * 4) * INTERVAL 1 DAY END AS expires
-            FROM events LEFT JOIN customer ON c_custkey = user_id * 10 + event_id % 10),
+                TIMESTAMP '2024-01-01' + (c_custkey % 6 * 4) * INTERVAL 1 DAY AS expires
+            FROM events LEFT JOIN customer ON c_custkey + 100 = user_id * 10 + event_id % 10),
         ranked AS (
             SELECT *, min(CASE WHEN ts < expires THEN seq END) OVER (PARTITION BY lease_id) AS hit FROM known)
         SELECT r.seq, r.lease_id, CASE WHEN r.expires IS NULL THEN 'unknown_lease' WHEN hit IS NULL OR r.seq < hit THEN 'expired'

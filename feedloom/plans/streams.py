@@ -65,7 +65,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.articles.write_base(A.stored_articles(spark, sf_dir))
     candidates = A.batch_candidates(_source(spark, sf_dir, "documents", _DOCUMENTS))
     as_of = F.lit(A.AS_OF).cast("timestamp")
-    _finish(S.stream_candidates(candidates, store, as_of, f"{root}/checkpoint", chunk_rows=100, order="seq"))
+    _finish(S.stream_candidates(candidates, store, as_of, f"{root}/checkpoint", order="seq"))
     return A.show_articles(store.articles.read(1))
 
 

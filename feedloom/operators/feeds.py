@@ -141,6 +141,11 @@ def feed_payloads(
     )
 
 
+def payload_lines(payloads: DataFrame) -> DataFrame:
+    """``(task_id, value)``: each payload as one line of JSON, for a text sink."""
+    return payloads.select("task_id", F.to_json("payload", {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"}).alias("value"))
+
+
 def stale_tasks(tasks: DataFrame, feeds: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
     """Tasks that ask for no feed, or for one that is gone or has no URL, with the number of such feeds.
 

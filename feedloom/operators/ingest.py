@@ -11,12 +11,18 @@ from feedloom.operators import merge
 from feedloom.operators.candidates import build_candidates
 from feedloom.operators.feeds import feed_runtime
 from feedloom.operators.language import Detector
+from feedloom.operators.quality import split_valid
 from feedloom.operators.resolve import resolve
 from feedloom.operators.skew import CHUNK_ROWS, restrict
 from feedloom.schemas import ARTICLES, FEED_RUNTIME
 from feedloom.session import cut_lineage
+from feedloom.sources.results import parse_results, result_events
 from feedloom.sources.store import KeyedTable
 
+# Room for the events of one envelope in an event number, and envelopes per chunk of an ordered fold.
+EVENT_BITS = 20
+ENVELOPES_PER_CHUNK = 4_096
+
 
 @dataclass(frozen=True)
 class FeedStore:
@@ -29,6 +35,11 @@ class FeedStore:
     urls: KeyedTable
     runtime: KeyedTable
 
+    def compact(self, version: int) -> None:
+        """Fold the changes of every table up to ``version`` into a new base."""
+        for table in (self.articles, self.authors, self.author_lists, self.feed_links, self.urls, self.runtime):
+            table.compact(version)
+
     @staticmethod
     def at(spark: SparkSession, root: str) -> FeedStore:
         table = lambda name, keys, schema: KeyedTable(spark, f"{root}/{name}", keys, schema)
@@ -99,3 +110,25 @@ def ingest_events(
         F.array_max(F.transform("sources", lambda s: s["published_at"])).alias("article_at"),
     )
     update_runtime(results, store.runtime, version, chunk_rows)
+
+
+def number_events(envelopes: DataFrame) -> DataFrame:
+    """Result events of valid envelopes with ``event_seq``, their place in the total order."""
+    number = F.shiftleft(F.col("envelope_id"), EVENT_BITS) + F.col("event_pos")
+    fits = F.assert_true(F.col("event_pos") < (1 << EVENT_BITS), F.lit("too many events in one envelope"))
+    return result_events(envelopes).withColumn("event_seq", F.when(fits.isNull(), number))
+
+
+def ingest_envelopes(
+    raw: DataFrame,
+    contexts: DataFrame,
+    store: FeedStore,
+    quarantine: str,
+    version: int,
+    as_of: Column,
+    detector: Detector | None = None,
+) -> None:
+    """A batch of JSON envelopes (``envelope_id, body``) to the store; rejected ones to ``quarantine``."""
+    good, bad = split_valid(parse_results(raw))
+    bad.write.mode("overwrite").parquet(f"{quarantine}/version={version}")
+    ingest_events(number_events(good), contexts, store, version, as_of, detector, ENVELOPES_PER_CHUNK << EVENT_BITS)

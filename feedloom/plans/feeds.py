@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import feeds as O
 from feedloom.operators import quality as Q
+from feedloom.operators.jobs import result_counts as result_counts_of
 from feedloom.plans import mapping as M
 from feedloom.plans.registry import query, sql_stamp, stamp, table
 from feedloom.session import cut_lineage
@@ -208,6 +209,18 @@ def result_events_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "result_counts",
+    """SELECT doc_id // 5 AS envelope_id, count(*) FILTER (doc_id % 9 <> 0) AS item_success, count(*) FILTER (doc_id % 9 = 0) AS item_error
+        FROM documents GROUP BY 1""",
+)
+def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = M.result_events(spark, sf_dir).select(F.floor(F.col("event_seq") / 5).alias("envelope_id"), F.struct("status").alias("e"))
+    # Five events per envelope at most.
+    sets = events.groupBy("envelope_id").agg(F.collect_list("e").alias("events"))
+    return sets.select("envelope_id", result_counts_of(F.col("events")).alias("c")).select("envelope_id", "c.*")
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as one-event envelopes that break one rule each by remainder."""
     n = F.col("doc_id") % 24

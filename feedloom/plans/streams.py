@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from feedloom.operators.ingest import FeedStore
 from feedloom.plans import articles as A
 from feedloom.plans import feeds as P
-from feedloom.plans import jobs as J
+from feedloom.plans import workers as J
 from feedloom.plans.registry import query, sql_stamp, stamp
 from feedloom.schemas import FEED_RUNTIME
 from feedloom.session import scratch_path

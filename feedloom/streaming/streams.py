@@ -14,18 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.operators.ingest import FeedStore, ingest_candidates, ingest_events, update_runtime
+from feedloom.operators.ingest import FeedStore, ingest_candidates, ingest_envelopes, update_runtime
 from feedloom.operators.jobs import PROCESSED
 from feedloom.operators.language import Detector
-from feedloom.operators.quality import split_valid
 from feedloom.operators.skew import CHUNK_ROWS
-from feedloom.sources.results import parse_results, result_events
 from feedloom.sources.store import KeyedTable
 
-# Room for the events of one envelope in an event number.
-EVENT_BITS = 20
-ENVELOPES_PER_CHUNK = 4_096
-
 
 def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", **options: str) -> DataFrame:
     """Rows of the files that appear at ``path``."""
@@ -52,13 +46,6 @@ def stream_candidates(
     return _each_batch(candidates, work, checkpoint, "append")
 
 
-def number_events(envelopes: DataFrame) -> DataFrame:
-    """Result events of valid envelopes with ``event_seq``, their place in the total order."""
-    number = F.shiftleft(F.col("envelope_id"), EVENT_BITS) + F.col("event_pos")
-    fits = F.assert_true(F.col("event_pos") < (1 << EVENT_BITS), F.lit("too many events in one envelope"))
-    return result_events(envelopes).withColumn("event_seq", F.when(fits.isNull(), number))
-
-
 def stream_ingest(
     raw: DataFrame, contexts: DataFrame, store: FeedStore, quarantine: str, as_of: Column, checkpoint: str,
     detector: Detector | None = None,
@@ -66,11 +53,7 @@ def stream_ingest(
     """Result envelopes (``envelope_id, body``) to the store; rejected envelopes to ``quarantine``."""
 
     def work(batch: DataFrame, version: int) -> None:
-        good, bad = split_valid(parse_results(batch))
-        bad.write.mode("overwrite").parquet(f"{quarantine}/version={version}")
-        ingest_events(
-            number_events(good), contexts, store, version, as_of, detector, ENVELOPES_PER_CHUNK << EVENT_BITS
-        )
+        ingest_envelopes(batch, contexts, store, quarantine, version, as_of, detector)
 
     return _each_batch(raw, work, checkpoint, "append")
 

@@ -11,7 +11,7 @@ from feedloom.functions.language import declared_language, detection_text
 from feedloom.functions.text import UNKNOWN, known_or_unknown
 from feedloom.functions.urls import image_url, primary_url
 from feedloom.operators.language import Detector, assign_language
-from feedloom.operators.skew import salted_join
+from feedloom.operators.skew import lookup
 
 
 def feed_context(feeds: DataFrame, companies: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def build_candidates(events: DataFrame, contexts: DataFrame, detector: Detector
     ``events`` has ``event_seq`` (a dense ingest number), ``feed_id`` and ``sources``. ``contexts`` comes from
     :func:`feed_context`. ``seq`` is the total order ``(event_seq, source_pos)`` later steps rely on.
     """
-    known = salted_join(events, contexts, "feed_id", spread=["event_seq"])
+    known = lookup(events, contexts, "feed_id", spread=["event_seq"])
     rows = known.select(
         "event_seq",
         "feed_id",

@@ -15,7 +15,7 @@ from feedloom.operators.quality import split_valid
 from feedloom.operators.resolve import resolve
 from feedloom.operators.skew import CHUNK_ROWS, restrict
 from feedloom.schemas import ARTICLES, FEED_RUNTIME
-from feedloom.session import cut_lineage
+from feedloom.session import cut_lineage, scratch
 from feedloom.sources.results import parse_results, result_events
 from feedloom.sources.store import KeyedTable
 
@@ -67,8 +67,13 @@ def ingest_candidates(
 
     Each table gets only its changed rows. Running the same version again gives the same store.
     """
-    articles = store.articles.read(version - 1)
-    resolved = cut_lineage(resolve(candidates, articles, chunk_rows, order))
+    with scratch(candidates.sparkSession) as root:
+        articles = store.articles.read(version - 1)
+        batch = cut_lineage(candidates, root)
+        _write(cut_lineage(resolve(batch, articles, chunk_rows, order, root), root), articles, store, version, as_of)
+
+
+def _write(resolved: DataFrame, articles: DataFrame, store: FeedStore, version: int, as_of: Column) -> None:
     store.articles.write(merge.changed_articles(articles, resolved, as_of), version)
     store.authors.write(_new_rows(merge.author_dim(resolved), store.authors, version), version)
     store.author_lists.write(merge.last_author_lists(resolved), version)
@@ -98,7 +103,7 @@ def ingest_events(
     chunk_rows: int = CHUNK_ROWS,
 ) -> None:
     """Candidates, merge and feed health for a batch of valid result events with ``event_seq``."""
-    ingest_candidates(cut_lineage(build_candidates(events, contexts, detector)), store, version, as_of, chunk_rows)
+    ingest_candidates(build_candidates(events, contexts, detector), store, version, as_of, chunk_rows)
     results = events.select(
         "feed_id",
         F.col("event_seq").alias("seq"),

@@ -16,6 +16,9 @@ value break later ties of step 4; here ties are broken by the values stored befo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from feedloom.session import cut_lineage
 
 MAX_ROUNDS = 32
 
+Cut = Callable[[DataFrame], DataFrame]
+
 
 def best_by_content(articles: DataFrame) -> DataFrame:
     """Per content key the stored article with the newest publication (none last), then the newest entry."""
@@ -36,25 +41,25 @@ def best_by_content(articles: DataFrame) -> DataFrame:
     )
 
 
-def _heads(rows: DataFrame, articles: DataFrame) -> DataFrame:
+def _heads(rows: DataFrame, articles: DataFrame, cut: Cut) -> DataFrame:
     """One row per article key of the batch with its class and, where already known, its article."""
     first = rows.groupBy("article_key").agg(F.min(F.struct("seq", "content_key")).alias("_head"))
-    first = cut_lineage(
+    first = cut(
         first.select(
             "article_key", F.col("_head.seq").alias("head_seq"), F.col("_head.content_key").alias("content_key")
         )
     )
-    contents = cut_lineage(
+    contents = cut(
         rows.where(F.col("content_key").isNotNull()).groupBy("content_key").agg(F.min("seq").alias("head_seq"))
     )
-    best = best_by_content(restrict(articles, contents, ["content_key"]))
+    best = best_by_content(restrict(articles, contents, ["content_key"], unique=True))
     openers = contents.join(best, "content_key", "left").select(
         "head_seq", "stored_key", F.lit(True).alias("opens_content")
     )
-    stored = restrict(articles, first, ["article_key"]).select("article_key").withColumn("_stored", F.lit(True))
+    stored = restrict(articles, first, ["article_key"], unique=True).select("article_key").withColumn("_stored", F.lit(True))
     heads = first.join(stored, "article_key", "left").join(openers, "head_seq", "left")
     opens = F.coalesce("opens_content", F.lit(False))
-    heads = cut_lineage(
+    heads = cut(
         heads.select(
             "article_key",
             "head_seq",
@@ -104,7 +109,7 @@ def _links(anchors: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def _double(links: DataFrame) -> DataFrame:
+def _double(links: DataFrame, cut: Cut) -> DataFrame:
     """Follow the open links until each has an article; the open part halves its distance every round."""
     done = links.where(F.col("target").isNotNull())
     still_open = links.where(F.col("target").isNull())
@@ -114,7 +119,7 @@ def _double(links: DataFrame) -> DataFrame:
         known = done.unionByName(still_open).select(
             F.col("article_key").alias("next_key"), F.col("target").alias("_target"), F.col("next_key").alias("_next")
         )
-        moved = cut_lineage(
+        moved = cut(
             salted_join(still_open.drop("target"), known, "next_key", spread=["article_key"], how="inner").select(
                 "article_key", F.col("_next").alias("next_key"), F.col("_target").alias("target")
             )
@@ -125,18 +130,24 @@ def _double(links: DataFrame) -> DataFrame:
 
 
 def resolve(
-    candidates: DataFrame, articles: DataFrame, chunk_rows: int = CHUNK_ROWS, order: str = "seq"
+    candidates: DataFrame,
+    articles: DataFrame,
+    chunk_rows: int = CHUNK_ROWS,
+    order: str = "seq",
+    root: str | None = None,
 ) -> DataFrame:
     """Add ``resolved_key`` and ``is_root`` (the row writes article fields) to every candidate.
 
-    ``seq`` is the unique total order of the batch; ``order`` is the dense integer column it sorts by first.
+    ``seq`` is the unique total order of the batch; ``order`` is the dense integer column it sorts by first. The
+    candidates are read several times, so store them first if they are costly. ``root`` takes the intermediate tables.
     """
+    cut = partial(cut_lineage, root=root)
     content = F.when(F.col("content_key") != "", F.col("content_key")).alias("content_key")
     rows = candidates.select(*dict.fromkeys(["seq", order]), "article_key", content)
-    heads = cut_lineage(_heads(rows, articles))
-    anchors = cut_lineage(_anchors(rows, heads, chunk_rows, order))
-    links = cut_lineage(_links(anchors, heads))
-    followed = _double(links).withColumnRenamed("target", "_followed")
+    heads = cut(_heads(rows, articles, cut))
+    anchors = cut(_anchors(rows, heads, chunk_rows, order))
+    links = cut(_links(anchors, heads))
+    followed = _double(links, cut).withColumnRenamed("target", "_followed")
     final = heads.join(followed, "article_key", "left").select(
         "article_key", "head_seq", "alias_seq", "is_root", F.coalesce("target", "_followed").alias("_target")
     )

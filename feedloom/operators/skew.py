@@ -22,8 +22,9 @@ MAX_HOT_KEYS = 1_000
 TRACKED_KEYS = 10_000
 MAX_SALTS = 4_096
 CHUNK_ROWS = 1_000_000
-# A million short keys take some ten megabytes.
-MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_BYTES = 32 << 20
+# What a row takes in memory beside its values.
+ROW_BYTES = 48
 
 
 def chunk_of(seq: str, width: int = CHUNK_ROWS) -> Column:
@@ -72,22 +73,38 @@ def salted_join(
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def fits_broadcast(rows: DataFrame) -> bool:
+    """Whether the rows, measured by a count of rows and bytes, are within ``MAX_BROADCAST_BYTES``."""
+    text = F.octet_length(F.to_json(F.struct(*rows.columns)))
+    size = rows.agg(F.sum(text + ROW_BYTES)).first()[0] or 0
+    return size <= MAX_BROADCAST_BYTES
+
+
 def bounded(keys: DataFrame) -> DataFrame:
-    """``keys`` marked for broadcast if a count shows that they are few, else as they are."""
-    few = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    return F.broadcast(keys) if few else keys
+    """``keys`` marked for broadcast if they are measured to fit, else as they are."""
+    return F.broadcast(keys) if fits_broadcast(keys) else keys
 
 
-def restrict(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of a large table whose keys occur in ``wanted``.
+def restrict(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
+    """The rows of a large table whose keys occur in ``wanted`` (``unique`` says that each key occurs once there).
 
     For few keys the table is filtered where it is read. For many keys it comes back whole, as the join that
     follows has to move it anyway; ask only for what that join would match.
     """
-    few = wanted.select(*keys).distinct()
-    if few.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
-        return rows
-    return rows.join(F.broadcast(few), list(keys), "left_semi")
+    few = wanted.select(*keys) if unique else wanted.select(*keys).distinct()
+    return rows.join(F.broadcast(few), list(keys), "left_semi") if fits_broadcast(few) else rows
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    """Left join of wide ``rows`` to ``table`` (unique on ``key``).
+
+    When the part of the table the rows refer to is measured to be small, it is broadcast and the rows stay where they
+    are; otherwise the rows travel by key, hot keys salted.
+    """
+    part = restrict(table, rows, [key])
+    if fits_broadcast(part):
+        return rows.join(F.broadcast(part), key, "left")
+    return salted_join(rows, table, key, spread)
 
 
 def earlier(

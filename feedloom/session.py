@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,10 +64,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the stored rows.
+def cut_lineage(df: DataFrame, root: str | None = None) -> DataFrame:
+    """Write ``df`` as a table below ``root`` (default: the shared folder) and go on from the stored rows.
 
-    Later stages then neither recompute the plan above nor depend on the executors that ran it.
+    Later stages then neither recompute the plan above nor depend on the executors that ran it. The table is columnar,
+    so a stage that needs two columns of a wide frame reads two columns, and its size is known to the planner.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table") if root is None else f"{root}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of one piece of work, removed when the work is done."""
+    root = scratch_path(spark, "work")
+    try:
+        yield root
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from feedloom.operators import merge
 from feedloom.plans import articles, feeds, jobs
 from feedloom.plans.registry import table
+from feedloom.session import cut_lineage
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -52,10 +53,10 @@ def test_store_rows_are_filtered_by_a_bounded_broadcast(spark, monkeypatch):
 
     resolved = articles.batch_candidates(table(spark, SF_DIR, "documents")).withColumn("resolved_key", F.col("article_key"))
     resolved = resolved.withColumn("is_root", F.lit(True))
-    stored = articles.stored_articles(spark, SF_DIR)
+    stored = cut_lineage(articles.stored_articles(spark, SF_DIR))
     few = merge.changed_articles(stored, resolved, F.current_timestamp())
     assert "BroadcastHashJoin" in plan_of(few) and "LeftSemi" in plan_of(few)
-    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", 10)
+    monkeypatch.setattr(skew, "MAX_BROADCAST_BYTES", 100)
     many = merge.changed_articles(stored, resolved, F.current_timestamp())
     assert "LeftSemi" not in plan_of(many)
     assert sorted(map(str, few.drop("ingested_at").collect())) == sorted(map(str, many.drop("ingested_at").collect()))

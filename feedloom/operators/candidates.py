@@ -11,7 +11,7 @@ from feedloom.functions.language import declared_language, detection_text
 from feedloom.functions.text import UNKNOWN, known_or_unknown
 from feedloom.functions.urls import image_url, primary_url
 from feedloom.operators.language import Detector, assign_language
-from feedloom.operators.skew import lookup
+from feedloom.operators.skew import lookup, restrict
 
 
 def feed_context(feeds: DataFrame, companies: DataFrame) -> DataFrame:
@@ -86,19 +86,18 @@ def flag_duplicates(candidates: DataFrame, articles: DataFrame) -> DataFrame:
     """Add ``duplicate_hint``: either key was seen earlier in the batch or is stored already.
 
     Only the first row of a key needs a look at the store, and only first rows carry a verdict back, joined on the
-    unique ``seq``. So no row is ever grouped with the other rows of its key.
+    unique ``seq``. So no row is ever grouped with the other rows of its key. The candidates are read several times.
     """
-    stored_keys = articles.select("article_key")
-    stored_contents = articles.where(F.col("content_key").isNotNull()).select("content_key").distinct()
 
-    def firsts(key: str, stored: DataFrame, name: str) -> DataFrame:
+    def firsts(key: str, name: str) -> DataFrame:
         first = candidates.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("seq"))
+        stored = restrict(articles.where(F.col(key).isNotNull()), first, [key], unique=True).select(key).distinct()
         return first.join(stored.withColumn("_stored", F.lit(True)), key, "left").select(
             "seq", F.col("_stored").isNull().alias(name)
         )
 
-    new_key = firsts("article_key", stored_keys, "_new_key")
-    new_content = firsts("content_key", stored_contents, "_new_content")
+    new_key = firsts("article_key", "_new_key")
+    new_content = firsts("content_key", "_new_content")
     fresh = F.coalesce("_new_key", F.lit(False)) & (
         F.col("content_key").isNull() | F.coalesce("_new_content", F.lit(False))
     )

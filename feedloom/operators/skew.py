@@ -46,27 +46,27 @@ def hot_keys(rows: DataFrame, key: str) -> dict[Any, int]:
 
 def salted_join(
     rows: DataFrame,
-    lookup: DataFrame,
+    table: DataFrame,
     key: str,
     spread: Sequence[str],
     how: str = "left",
     hot: dict[Any, int] | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``lookup`` (unique on ``key``) with the rows of hot keys spread over salts.
+    """Join ``rows`` to ``table`` (unique on ``key``) with the rows of hot keys spread over salts.
 
     Without hot keys this is a plain join. The salt is a hash of the ``spread`` columns, not a random number, so
-    that a task that runs again sends each row to the same place. Only lookup rows of hot keys are copied.
+    that a task that runs again sends each row to the same place. Only table rows of hot keys are copied.
     """
     hot = hot_keys(rows, key) if hot is None else hot
     if not hot:
-        return rows.join(lookup, key, how)
+        return rows.join(table, key, how)
     schema = StructType([StructField(key, rows.schema[key].dataType), StructField("_copies", IntegerType())])
     # At most MAX_HOT_KEYS rows.
     salts = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), schema))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     left = rows.join(salts, key, "left").withColumn("_salt", F.pmod(F.hash(*spread), copies)).drop("_copies")
     right = (
-        lookup.join(salts, key, "left")
+        table.join(salts, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
         .drop("_copies")
     )
@@ -98,9 +98,11 @@ def restrict(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], unique: bo
 def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
     """Left join of wide ``rows`` to ``table`` (unique on ``key``).
 
-    When the part of the table the rows refer to is measured to be small, it is broadcast and the rows stay where they
-    are; otherwise the rows travel by key, hot keys salted.
+    When the table, or the part of it the rows refer to, is measured to be small, it is broadcast and the rows stay
+    where they are; otherwise the rows travel by key, hot keys salted.
     """
+    if fits_broadcast(table):
+        return rows.join(F.broadcast(table), key, "left")
     part = restrict(table, rows, [key])
     if fits_broadcast(part):
         return rows.join(F.broadcast(part), key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chosenpath, langid, lzprint, mixing, tokens
+from feedloom.llm import chosenpath, cotrain, decontaminate, langid, lzprint, mixing, quotes, secrets, suffix, tokens
 from feedloom.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "TOKENIZER"]
@@ -43,3 +43,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_duplicates")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op5_decontamination", decontaminate.SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_secret_scan")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_substring_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quote_linking")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query("op10_quality")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -9,7 +9,8 @@ Nodes at the last level that are still large hold documents which are alike, or
 compared with the node's first one; documents which then are in another component than most of their node are compared
 with all its other documents. So no pair in a node is passed over unless a chain of links joins it already.
 
-Pairs are first judged by sketches (with six standard deviations of slack), then confirmed on the full sets.
+Pairs are judged where they meet by sizes and one-bit sketches, then by full sketches (both with six standard deviations
+of slack), and confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import mix, slices, small_side, stored, word_hashes
 
 WIDTH = 5
 TREES = 24
-#: Levels of a tree; from level ``FORK`` on each path has ``BRANCHES`` continuations.
-LEVELS, FORK, BRANCHES = 8, 4, 2
+#: Levels of a tree; from level ``FORK`` on each path has ``BRANCHES`` continuations. Tokens are 16 bits of a rank, so the
+#: first nodes are those of level ``ROOT``: a name of 48 bits, which documents hardly share by accident.
+LEVELS, ROOT, FORK, BRANCHES = 8, 3, 4, 2
 SMALL = 24
 _COLUMNS = TREES * (FORK + BRANCHES * (LEVELS - FORK))
 _FACTORS = mix(np.arange(1, _COLUMNS + 1)) | np.uint64(1)
@@ -69,17 +71,20 @@ def _lower(text: str | None) -> bytes:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``id``, ``n`` (set size), ``digest`` (of the set) and ``path`` (minwise tokens) of every row."""
+    """``id``, ``n`` (set size), ``digest`` (of the set), ``path`` (minwise tokens) and ``bits`` (of 128 of them) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
             sets = shingle_sets([_lower(t) for t in part.column("text").to_pylist()], width)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            paths = [minwise(s) for s in sets]
+            bits = np.stack([np.packbits((p[:128] & 1).astype(bool)) for p in paths]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([s.size for s in sets], pa.int64()), pa.array(digest),
-                 pa.array([minwise(s).tobytes() if s.size else None for s in sets], pa.binary())], ["id", "n", "digest", "path"])
+                 pa.array([p.tobytes() if s.size else None for p, s in zip(paths, sets, strict=True)], pa.binary()),
+                 pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["id", "n", "digest", "path", "bits", "more"])
 
-    return docs.mapInArrow(rows, "id long, n long, digest binary, path binary")
+    return docs.mapInArrow(rows, "id long, n long, digest binary, path binary, bits long, more long")
 
 
 def _keys(level: int) -> list:
@@ -98,9 +103,9 @@ def _keys(level: int) -> list:
 
 def _nodes(reps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Members (``key``, ``id``) of the small nodes of each level, and of the large ones of the last."""
-    rows = reps.select("id", F.posexplode(F.array(*_keys(1))).alias("at", "key"))
+    rows = reps.select("id", F.posexplode(F.array(*_keys(ROOT))).alias("at", "key"))
     small = []
-    for level in range(1, LEVELS + 1):
+    for level in range(ROOT, LEVELS + 1):
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         members = stored(rows.join(counts, "key"))
         small.append(members.where(F.col("n") <= SMALL).select("key", "id"))
@@ -116,8 +121,21 @@ def _nodes(reps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     raise AssertionError
 
 
+def _side(reps: DataFrame, name: str, other: str) -> DataFrame:
+    """Columns that :func:`_close` looks at, with the id called ``name``."""
+    return reps.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{other}") for c in ("n", "bits", "more")))
+
+
+def _close(percent: int) -> Column:
+    """Whether sizes and one-bit sketches of two rows allow the similarity: the bits of alike sets differ rarely."""
+    miss = (1 - percent / 100) / 2
+    most = math.ceil(128 * miss + 6 * math.sqrt(128 * miss * (1 - miss)))
+    apart = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) + F.bit_count(F.col("more_x").bitwiseXOR(F.col("more_y")))
+    return (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (apart <= most)
+
+
 def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a`` < ``b``) whose sizes and sketches allow the similarity."""
+    """Pairs (``a`` < ``b``) whose full sketches allow the similarity."""
     t = percent / 100
     least = math.floor(_COLUMNS * t - 6 * math.sqrt(_COLUMNS * t * (1 - t)))
 
@@ -126,10 +144,8 @@ def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, _COLUMNS) for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("path").alias("x"))
-    right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("path").alias("y"))
-    near = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return near.select("a", "b", "x", "y").mapInArrow(judged, "a long, b long")
+    left, right = reps.select(F.col("id").alias("a"), F.col("path").alias("x")), reps.select(F.col("id").alias("b"), F.col("path").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judged, "a long, b long")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, width: int) -> DataFrame:
@@ -192,16 +208,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, key:
     classes = stored(sets.groupBy("digest").agg(F.min("id").alias("first")))
     reps = stored(
         sets.join(classes, (F.col("id") == F.col("first")) & (sets.digest == classes.digest), "left_semi")
-        .select("id", "n", "path").dropDuplicates(["id"])
+        .select("id", "n", "path", "bits", "more").dropDuplicates(["id"])
     )
     small, large = _nodes(reps)
+    x, y, close = _side(reps, "a", "x"), _side(reps, "b", "y"), _close(percent)
     pairs = None
     for members in small:
-        other = members.withColumnRenamed("id", "b")
-        found = members.withColumnRenamed("id", "a").join(other, "key").where("a < b").select("a", "b")
+        mine, other = (members.withColumnRenamed("id", side.columns[0]).join(side, side.columns[0]) for side in (x, y))
+        found = mine.join(other, "key").where((F.col("a") < F.col("b")) & close).select("a", "b")
         pairs = found if pairs is None else pairs.unionByName(found)
     first = large.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = pairs.unionByName(large.withColumnRenamed("id", "b").join(first, "key").where("a < b").select("a", "b"))
+    star = large.withColumnRenamed("id", "b").join(first, "key").where("a < b").select("a", "b").distinct()
+    pairs = pairs.unionByName(star.join(x, "a").join(y, "b").where(close).select("a", "b"))
     links = _links(pairs.distinct(), source, reps, percent, width)
     roots = stored(components(links))
     if large.head(1):
@@ -210,8 +228,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, key:
         most = groups.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("m")).where("m > 1")
         placed = placed.join(most, "key")
         odd = placed.where("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
-        rest = odd.join(placed.select("key", "id", "root"), "key").where("rx <> root")
-        rest = rest.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        odd = odd.withColumnRenamed("x", "a").join(x, "a")
+        others = placed.select("key", F.col("id").alias("b"), "root").join(y, "b")
+        rest = odd.join(others, "key").where((F.col("rx") != F.col("root")) & close)
+        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = _links(rest, source, reps, percent, width)
         if more.head(1):
             roots = stored(components(links.unionByName(more)))

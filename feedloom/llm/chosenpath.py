@@ -3,11 +3,11 @@
 A document's set are its distinct word shingles. In each of ``TREES`` independent random trees a document goes from a node
 to the child named by the smallest token of its set under the node's random order, so two documents stay together with
 their Jaccard similarity as the chance of every step. A node of at most ``SMALL`` documents is compared exhaustively;
-larger ones branch on, and half-way down into two children each, which keeps alike documents from drifting apart.
+larger ones branch on, and at the last level into two children each, which keeps alike documents from drifting apart.
 
 Nodes at the last level that are still large hold documents which are alike, or a rare accident. There every document is
-compared with the node's first one; documents which then are in another component than most of their node are compared
-with all its other documents. So no pair in a node is passed over unless a chain of links joins it already.
+compared with the node's first one. Where that does not join the whole node into one component, all its documents are
+compared with each other, block by block. So no pair in a node is passed over unless a chain of links joins it already.
 
 Pairs are judged where they meet by sizes and one-bit sketches, then by full sketches (both with six standard deviations
 of slack), and confirmed on the full sets.
@@ -20,6 +20,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ WIDTH = 5
 TREES = 24
 #: Levels of a tree; from level ``FORK`` on each path has ``BRANCHES`` continuations. Tokens are 16 bits of a rank, so the
 #: first nodes are those of level ``ROOT``: a name of 48 bits, which documents hardly share by accident.
-LEVELS, ROOT, FORK, BRANCHES = 8, 3, 4, 2
+LEVELS, ROOT, FORK, BRANCHES = 5, 3, 4, 2
 SMALL = 24
+#: Documents of a large node that are compared with as many others by one task.
+BLOCK = 512
 _COLUMNS = TREES * (FORK + BRANCHES * (LEVELS - FORK))
 _FACTORS = mix(np.arange(1, _COLUMNS + 1)) | np.uint64(1)
 
@@ -117,7 +120,7 @@ def _nodes(reps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         steps = large.select("id", F.explode(F.array(*(F.col("at") * fork + i for i in range(fork)))).alias("at"))
         following = reps.select("id", F.array(*_keys(level + 1)).alias("keys"))
         # The key of a level starts with the choices of the levels above, so children of different nodes never meet.
-        rows = steps.join(following, "id").select("id", "at", F.element_at("keys", F.col("at") + 1).alias("key"))
+        rows = stored(steps.join(following, "id").select("id", "at", F.element_at("keys", F.col("at") + 1).alias("key")))
     raise AssertionError
 
 
@@ -148,16 +151,22 @@ def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judged, "a long, b long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs confirmed on the full sets: 100 * intersection >= percent * union."""
-    pairs = stored(_alike(pairs, reps, percent))
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id`` and the whole set (``tokens``) of the rows named by the stored table ``ids``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
             sets = shingle_sets([_lower(t) for t in part.column("text").to_pylist()], width)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
 
+    return stored(docs.join(small_side(ids, 24), "id", "left_semi").mapInArrow(rows, "id long, tokens binary"))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs confirmed on the full sets: 100 * intersection >= percent * union."""
+    pairs = stored(_alike(pairs, reps, percent))
+    full = _full_sets(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), width)
+
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "x", 16 << 20):
             keep = []
@@ -167,11 +176,52 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, wid
                 keep.append(100 * both >= percent * (x.size + y.size - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = stored(docs.join(small_side(wanted, 24), "id", "left_semi").mapInArrow(rows, "id long, tokens binary"))
     left, right = full.toDF("a", "x"), full.toDF("b", "y")
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, from products of 0/1 matrices."""
+    owner = np.repeat(np.arange(len(left) + len(right)), [s.size for s in (*left, *right)])
+    tokens, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    shared = np.bincount(at, minlength=tokens.size) > 1
+    place = np.where(shared, np.cumsum(shared) - 1, -1)[at]
+    owner, place = owner[place >= 0], place[place >= 0]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(shared.sum()), columns):
+        here = (place >= begin) & (place < begin + columns)
+        grid = np.zeros((len(left) + len(right), columns), np.float32)
+        grid[owner[here], place[here] - begin] = 1
+        out += grid[: len(left)] @ grid[len(left) :].T
+    return out
+
+
+def _group_links(members: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between the components (``root``) in each group of members (``group``, ``id``), whole block by whole block.
+
+    A pair of blocks is one task's work and gives its links alone, so pairs that are no links are never rows.
+    """
+    full = _full_sets(docs, stored(members.select("id").distinct()), width)
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.join(full, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("group", "id", "root", "tokens", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = pdf[pdf["block"] == pdf["lo"]], pdf[pdf["block"] == pdf["hi"]]
+        x, y = ([np.frombuffer(t, np.uint64) for t in side["tokens"]] for side in (one, two))
+        if not x or not y:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        both = overlaps(x, y)
+        union = np.array([s.size for s in x])[:, None] + np.array([s.size for s in y]) - both
+        apart = one["root"].to_numpy()[:, None] != two["root"].to_numpy()
+        i, j = np.nonzero((100 * both.astype(np.int64) >= percent * union) & apart)
+        a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return stored(rows.groupBy("group", "lo", "hi").applyInPandas(compared, "a long, b long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``root``, the smallest id that a chain of links (``a``, ``b``) reaches, for every linked id but the roots.
 
@@ -223,16 +273,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, key:
     links = _links(pairs.distinct(), source, reps, percent, width)
     roots = stored(components(links))
     if large.head(1):
-        placed = stored(large.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-        groups = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
-        most = groups.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("m")).where("m > 1")
-        placed = placed.join(most, "key")
-        odd = placed.where("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
-        odd = odd.withColumnRenamed("x", "a").join(x, "a")
-        others = placed.select("key", F.col("id").alias("b"), "root").join(y, "b")
-        rest = odd.join(others, "key").where((F.col("rx") != F.col("root")) & close)
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _links(rest, source, reps, percent, width)
+        # Large nodes with the same first document hold much the same documents: compared together, once.
+        members = large.join(first, "key").select(F.col("a").alias("group"), "id").distinct()
+        placed = stored(members.join(roots, "id", "left").select("group", "id", F.coalesce("root", "id").alias("root")))
+        open_ = placed.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("group")
+        more = _group_links(stored(placed.join(open_, "group")), source, percent, width)
         if more.head(1):
             roots = stored(components(links.unionByName(more)))
     # Classes whose first rows are linked share a root; the smallest id of a component is the smallest of its classes.

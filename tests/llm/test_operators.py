@@ -257,6 +257,7 @@ def test_near_duplicates_against_all_pairs(chains, percent):
 
 def test_large_nodes_are_still_whole(chains, monkeypatch):
     monkeypatch.setattr(chosenpath, "SMALL", 2)
+    monkeypatch.setattr(chosenpath, "BLOCK", 16)
     got = {r.doc_id: tuple(r[1:]) for r in chosenpath.near_duplicates(chains, 85).collect()}
     assert got == brute_components([(r.doc_id, r.text) for r in chains.collect()], 85)
 
@@ -272,3 +273,10 @@ def test_null_ids_and_empty_tables(spark, odd_rows, no_rows):
     assert len(got) == odd_rows.count()
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     assert rows_of(chosenpath.near_duplicates(no_rows)) == []
+
+
+def test_overlaps_are_exact():
+    draw = np.random.default_rng(1)
+    sets = [np.unique(draw.integers(0, 300, n).astype(np.uint64)) for n in (0, 5, 90, 200, 150)]
+    got = chosenpath.overlaps(sets[:3], sets[2:], columns=16)
+    assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[2:]] for x in sets[:3]]

@@ -90,7 +90,7 @@ def flag_duplicates(candidates: DataFrame, articles: DataFrame) -> DataFrame:
     """
 
     def firsts(key: str, name: str) -> DataFrame:
-        first = candidates.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("seq"))
+        first = candidates.where(F.trim(key) != "").groupBy(key).agg(F.min("seq").alias("seq"))
         stored = restrict(articles.where(F.col(key).isNotNull()), first, [key], unique=True).select(key).distinct()
         return first.join(stored.withColumn("_stored", F.lit(True)), key, "left").select(
             "seq", F.col("_stored").isNull().alias(name)
@@ -99,7 +99,7 @@ def flag_duplicates(candidates: DataFrame, articles: DataFrame) -> DataFrame:
     new_key = firsts("article_key", "_new_key")
     new_content = firsts("content_key", "_new_content")
     fresh = F.coalesce("_new_key", F.lit(False)) & (
-        F.col("content_key").isNull() | F.coalesce("_new_content", F.lit(False))
+        F.coalesce(F.trim("content_key") == "", F.lit(True)) | F.coalesce("_new_content", F.lit(False))
     )
     return (
         candidates.join(new_key, "seq", "left")

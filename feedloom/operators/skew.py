@@ -88,11 +88,10 @@ def bounded(keys: DataFrame) -> DataFrame:
 def restrict(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
     """The rows of a large table whose keys occur in ``wanted`` (``unique`` says that each key occurs once there).
 
-    For few keys the table is filtered where it is read. For many keys it comes back whole, as the join that
-    follows has to move it anyway; ask only for what that join would match.
+    For few keys the table is filtered where it is read, for many both sides are moved by key.
     """
     few = wanted.select(*keys) if unique else wanted.select(*keys).distinct()
-    return rows.join(F.broadcast(few), list(keys), "left_semi") if fits_broadcast(few) else rows
+    return rows.join(bounded(few), list(keys), "left_semi")
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:

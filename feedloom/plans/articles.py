@@ -83,7 +83,7 @@ def _template_sql() -> str:
 @query("authors_clean", _template_sql())
 def authors_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part", spread=True).select("p_partkey", "p_name", "p_type")
-    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100))
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
     fill = {"{a}": name, "{b}": F.concat(F.lit("Éva "), F.initcap("p_type")), "{w}": F.substring_index(name, " ", 1)}
     byline = F.element_at(F.array(*[F.lit(t) for t, _ in BYLINES]), (F.col("p_partkey") % len(BYLINES) + 1).cast("int"))
     for mark, value in fill.items():
@@ -123,7 +123,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def duplicate_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = cut_lineage(_candidates(spark, sf_dir).select("seq", "event_seq", "article_key", "content_key"))
-    stored = batch.join(_good(spark, sf_dir, "event_seq"), "event_seq", "left_semi").dropDuplicates(["article_key"])
+    stored = batch.join(_good(spark, sf_dir, "event_seq"), "event_seq", "left_semi").groupBy("article_key").agg(F.min_by("content_key", "seq").alias("content_key"))
     return flag_duplicates(batch, stored).select("event_seq", "seq.source_pos", "duplicate_hint")
 
 

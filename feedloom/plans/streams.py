@@ -20,8 +20,16 @@ _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 _DOCUMENTS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
 
+#: Options of every source, such as ``maxFilesPerTrigger``.
+OPTIONS: dict[str, str] = {}
+
+
 def _source(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
-    return S.file_stream(spark, sf_dir, schema, pathGlobFilter=f"{name}.parquet")
+    """A driver table as a stream: a folder of part files, or one file found by its name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return S.file_stream(spark, f"{sf_dir}/{name}.parquet", schema, **OPTIONS)
+    return S.file_stream(spark, sf_dir, schema, pathGlobFilter=f"{name}.parquet", **OPTIONS)
 
 
 def _finish(stream: StreamingQuery) -> None:
@@ -34,7 +42,7 @@ def stream_feed_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = KeyedTable(spark, f"{root}/table", ["feed_id"], FEED_RUNTIME)
     results = P.runtime_results(_source(spark, sf_dir, "events", _EVENTS))
     _finish(S.stream_feed_runtime(results, table, f"{root}/checkpoint"))
-    return P.show_runtime(table.read(1))
+    return P.show_runtime(table.read())
 
 
 @query(
@@ -55,7 +63,7 @@ def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "error").cast("bigint").alias("item_error"),
     )
     _finish(S.to_table(S.running_job_progress(outcomes), table, f"{root}/checkpoint"))
-    return table.read(1)
+    return table.read()
 
 
 @query("stream_ingest", A.UPSERT_SQL)
@@ -66,7 +74,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = A.batch_candidates(_source(spark, sf_dir, "documents", _DOCUMENTS))
     as_of = F.lit(A.AS_OF).cast("timestamp")
     _finish(S.stream_candidates(candidates, store, as_of, f"{root}/checkpoint", order="seq"))
-    return A.show_articles(store.articles.read(1))
+    return A.show_articles(store.articles.read())
 
 
 @query(
@@ -77,19 +85,23 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "dedup")
     reports = J.reports_of(_source(spark, sf_dir, "events", _EVENTS)).withColumn("at", F.col("at").cast("timestamp"))
-    _finish(S.to_files(S.deduplicate_reports(reports), f"{root}/rows", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/rows").select("lease_id", "result_status", "result_nonce")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reports.select(*S.REPORT_KEYS, "at").schema)
+    seen = KeyedTable(spark, f"{root}/table", S.REPORT_KEYS, schema)
+    _finish(S.stream_new_reports(reports, seen, f"{root}/checkpoint"))
+    return seen.read().select("lease_id", "result_status", "result_nonce")
 
 
 @query(
     "stream_rates",
     f"""SELECT {sql_stamp("date_trunc('hour', ts)")} AS window_start, {sql_stamp("date_trunc('hour', ts) + INTERVAL 1 HOUR")} AS window_end,
             count(*) AS results, count(*) FILTER (event_type = 'error') AS errors
-        FROM events WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL""",
+        FROM events GROUP BY ALL""",
 )
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "rates")
     results = P.runtime_results(_source(spark, sf_dir, "events", _EVENTS)).select(F.col("at").cast("timestamp").alias("at"), "status")
-    _finish(S.to_files(S.result_rates(results), f"{root}/rows", f"{root}/checkpoint"))
-    rows = spark.read.parquet(f"{root}/rows")
-    return rows.withColumns({"window_start": stamp("window_start"), "window_end": stamp("window_end")})
+    table = KeyedTable(
+        spark, f"{root}/table", ["window_start"], "window_start TIMESTAMP, window_end TIMESTAMP, results BIGINT, errors BIGINT"
+    )
+    _finish(S.to_table(S.result_rates(results, delay=None), table, f"{root}/checkpoint"))
+    return table.read().withColumns({"window_start": stamp("window_start"), "window_end": stamp("window_end")})

@@ -49,8 +49,13 @@ class KeyedTable:
         """Store the changed rows of a batch; versions start at 1."""
         changed.select(self._struct().names).write.mode("overwrite").parquet(f"{self.root}/changes/version={version}")
 
-    def read(self, version: int) -> DataFrame:
-        """The table as of ``version``: the newest change of each key, else its base row."""
+    def newest(self) -> int:
+        """The last complete version, 0 of an empty table."""
+        return max([0, *self._versions("base"), *self._versions("changes")])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The table as of ``version`` (default: the newest): the newest change of each key, else its base row."""
+        version = self.newest() if version is None else version
         names = self._struct().names
         bases = [v for v in self._versions("base") if v <= version]
         start = bases[-1] if bases else 0

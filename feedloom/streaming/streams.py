@@ -9,6 +9,7 @@ repeated after a failure overwrites its own output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +67,24 @@ def stream_feed_runtime(
     return _each_batch(results, work, checkpoint, "append")
 
 
-def deduplicate_reports(reports: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeated result reports of a lease; a differing report is kept for the ledger."""
-    keys = ["lease_id", "result_status", "result_nonce", "result_hash"]
-    return reports.withWatermark("at", delay).dropDuplicatesWithinWatermark(keys)
+#: What makes two result reports of a lease the same report.
+REPORT_KEYS = ["lease_id", "result_status", "result_nonce", "result_hash"]
+
+
+def stream_new_reports(reports: DataFrame, seen: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Add each report to ``seen`` (keyed on :data:`REPORT_KEYS`) once, however late it comes again.
+
+    A report that differs from earlier ones of its lease is kept for the ledger. Copies within a micro-batch are reduced
+    before they are compared with the table, so the answer does not depend on how rows fall into micro-batches.
+    """
+
+    def work(batch: DataFrame, version: int) -> None:
+        known = seen.read(version - 1).select(*[F.col(k).alias(f"_{k}") for k in REPORT_KEYS])
+        first = batch.groupBy(*REPORT_KEYS).agg(F.min("at").alias("at"))
+        same = reduce(Column.__and__, [first[k].eqNullSafe(known[f"_{k}"]) for k in REPORT_KEYS])
+        seen.write(first.join(known, same, "left_anti"), version)
+
+    return _each_batch(reports, work, checkpoint, "append")
 
 
 def running_job_progress(outcomes: DataFrame) -> DataFrame:
@@ -81,9 +96,13 @@ def running_job_progress(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def result_rates(results: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Results and errors per feed status in each time window of ``at``."""
-    windowed = results.withWatermark("at", delay).groupBy(F.window("at", width).alias("w"))
+def result_rates(results: DataFrame, width: str = "1 hour", delay: str | None = "1 hour") -> DataFrame:
+    """Results and errors per feed status in each time window of ``at``.
+
+    Without ``delay`` no row is too late, and the state of all windows is kept: for tables that are read to their end.
+    """
+    timed = results if delay is None else results.withWatermark("at", delay)
+    windowed = timed.groupBy(F.window("at", width).alias("w"))
     return windowed.agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("status") == "error").alias("errors")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "results", "errors"
     )

@@ -6,10 +6,13 @@ import json
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators.candidates import feed_context
 from feedloom.operators.ingest import FeedStore, ingest_envelopes
+from feedloom.plans import QUERIES
+from feedloom.plans import streams as plans
 from feedloom.session import scratch_path
 from feedloom.streaming import streams as S
 
@@ -96,3 +99,22 @@ def test_batch_equals_stream_and_survives_compaction(spark):
     assert sorted(map(str, store.articles.read(2).collect())) == before
     runtime = {r.feed_id: r.consecutive_error_count for r in store.runtime.read(2).collect()}
     assert runtime == {1: 0, 2: 4}
+
+
+@pytest.mark.parametrize("name", ["stream_feed_runtime", "stream_job_progress", "stream_ingest", "stream_dedup", "stream_rates"])
+def test_streams_do_not_depend_on_files_or_batches(spark, tmp_path, monkeypatch, name):
+    """A table of three part files read one file a batch gives the rows of the whole table."""
+    source, parts = "/root/testdata/sf0.001", tmp_path / "parts"
+    parts.mkdir()
+    for other in os.listdir(source):
+        if other not in ("events.parquet", "documents.parquet"):
+            (parts / other).symlink_to(f"{source}/{other}")
+    for table, key in (("events", "event_id"), ("documents", "doc_id")):
+        folder = f"{parts}/{table}.parquet"
+        spark.read.parquet(f"{source}/{table}.parquet").repartitionByRange(3, key).sortWithinPartitions(key).write.parquet(folder)
+        for age, file in enumerate(sorted(os.listdir(folder))):  # files arrive in the order of events
+            os.utime(f"{folder}/{file}", (1_700_000_000 + age, 1_700_000_000 + age))
+    want = sorted(map(str, QUERIES[name](spark, source).collect()))
+    monkeypatch.setitem(plans.OPTIONS, "maxFilesPerTrigger", "1")
+    got = sorted(map(str, QUERIES[name](spark, str(parts)).collect()))
+    assert want and got == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.keys import clean_ref_ids
+from feedloom.functions.keys import FETCH_TASK_PREFIX, clean_ref_ids
 from feedloom.functions.urls import normalize_host
 from feedloom.operators.skew import CHUNK_ROWS, chunk_of, salted_join, since_reset
 
@@ -13,6 +13,8 @@ ERROR = "error"
 # Constants of a fetch payload.
 REQUESTED_BY = "jobs.rss_scrape"
 DEFAULT_FETCH_PROTECTION = 1
+STALE_CODE = "stale_reference"
+REBUILD_FAILURES = "payload_rebuild_failures"
 
 
 def latest_published(sources: Column) -> Column:
@@ -79,6 +81,13 @@ def feed_runtime(results: DataFrame, previous: DataFrame | None = None, chunk_ro
     )
 
 
+def _is_fetch(tasks: DataFrame) -> Column:
+    """Whether a task asks for feeds by its ``task_type``; without that column all do."""
+    if "task_type" not in tasks.columns:
+        return F.lit(True)
+    return F.coalesce(F.col("task_type").startswith(FETCH_TASK_PREFIX), F.lit(False))
+
+
 def _wanted(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tasks with cleaned references, and one row per requested feed in order."""
     requested = tasks.select("task_id", "job_id", "requested_at", clean_ref_ids(F.col("ref_ids")).alias("ref_ids"))
@@ -99,9 +108,9 @@ def feed_payloads(
     """What to fetch for each task: ``task_id, payload``.
 
     ``tasks`` has ``task_id, job_id, requested_at, ref_ids``. A payload lists the requested feeds in order. Tasks whose
-    feeds cannot be rebuilt exactly have none; see :func:`stale_tasks`.
+    feeds cannot be rebuilt exactly have none; see :func:`stale_tasks`. With a column ``task_type`` only fetch tasks have one.
     """
-    requested, wanted = _wanted(tasks)
+    requested, wanted = _wanted(tasks.where(_is_fetch(tasks)))
     company = companies.select(
         F.col("id").alias("company_id"), F.col("host").alias("_host"), F.col("fetchprotection").alias("_protection")
     )
@@ -149,17 +158,49 @@ def payload_lines(payloads: DataFrame) -> DataFrame:
 def stale_tasks(tasks: DataFrame, feeds: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
     """Tasks that ask for no feed, or for one that is gone or has no URL, with the number of such feeds.
 
-    Found feeds are a subset of the requested positions, so the lists agree exactly when their lengths do.
+    Found feeds are a subset of the requested positions, so the lists agree exactly when their lengths do. With a column
+    ``task_type`` tasks of other types than fetching are listed as ``unsupported_type``, whatever they refer to.
     """
-    requested, wanted = _wanted(tasks)
+    requested, wanted = _wanted(tasks.where(_is_fetch(tasks)))
     known = _with_url(feeds).select("feed_id")
     found = salted_join(wanted, known, "feed_id", spread=["task_id", "pos"], how="inner", hot=hot)
     counts = found.groupBy("task_id").agg(F.count(F.lit(1)).alias("_found"))
     size = F.coalesce(F.size("ref_ids"), F.lit(0))
     missing = size - F.coalesce("_found", F.lit(0))
-    return requested.join(counts, "task_id", "left").where((size < 1) | (missing > 0)).select(
+    stale = requested.join(counts, "task_id", "left").where((size < 1) | (missing > 0)).select(
         "task_id",
         "job_id",
         F.when(size < 1, F.lit("no_refs")).otherwise(F.lit("feed_missing")).alias("reason"),
         F.greatest(missing, F.lit(0)).cast("bigint").alias("missing_feeds"),
     )
+    if "task_type" not in tasks.columns:
+        return stale
+    other = tasks.where(~_is_fetch(tasks)).select(
+        "task_id", "job_id", F.lit("unsupported_type").alias("reason"), F.lit(0).cast("bigint").alias("missing_feeds")
+    )
+    return stale.unionByName(other)
+
+
+def stale_outcomes(stale: DataFrame, tasks: DataFrame, seq: str, at: Column) -> DataFrame:
+    """Failed outcome reports, as :func:`feedloom.operators.jobs.task_outcomes` reads them, of stale fetch tasks.
+
+    ``stale`` is the result of :func:`stale_tasks`, ``tasks`` (unique on ``task_id``) has ``execution_id``, ``item_total`` and
+    the column named ``seq``. All items of a stale task count as errors; tasks of an unsupported type get no report.
+    """
+    failed = stale.where(F.col("reason") != "unsupported_type").select("task_id", "reason")
+    return failed.join(tasks.select("task_id", "execution_id", "item_total", F.col(seq).alias("seq")), "task_id").select(
+        "seq",
+        "task_id",
+        "execution_id",
+        F.lit("failed").alias("outcome"),
+        at.alias("at"),
+        F.lit(0).cast("bigint").alias("item_success"),
+        F.col("item_total").cast("bigint").alias("item_error"),
+        F.concat_ws(": ", F.lit(STALE_CODE), "reason").alias("error_message"),
+    )
+
+
+def rebuild_failures(stale: DataFrame) -> DataFrame:
+    """Increments for :func:`feedloom.operators.workers.runtime_counters`: one for each stale fetch task."""
+    failed = stale.where(F.col("reason") != "unsupported_type")
+    return failed.select(F.lit(REBUILD_FAILURES).alias("counter_name"), F.lit(1).cast("bigint").alias("amount"))

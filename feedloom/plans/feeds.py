@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions.keys import clean_ref_ids
 from feedloom.operators import feeds as O
 from feedloom.operators import quality as Q
 from feedloom.operators.jobs import result_counts as result_counts_of
+from feedloom.operators.jobs import task_outcomes
+from feedloom.operators.workers import runtime_counters
 from feedloom.plans import mapping as M
 from feedloom.plans.registry import query, sql_stamp, stamp, table
 from feedloom.session import cut_lineage
@@ -146,6 +149,50 @@ def stale_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.stale_tasks(_order_parts(spark, sf_dir), _part_feeds(spark, sf_dir))
 
 
+def _typed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claimed tasks of three types, one of which does not fetch."""
+    kind = F.when(F.col("task_id") % 5 == 0, "embed.source").when(F.col("task_id") % 5 == 1, "rss.fetch.retry")
+    return _order_parts(spark, sf_dir).select(
+        "*",
+        kind.otherwise("rss.fetch").alias("task_type"),
+        F.concat(F.lit("e"), "task_id").alias("execution_id"),
+        F.lit("processing").alias("status"),
+        F.lit(None).cast("timestamp_ntz").alias("claim_expires_at"),
+        F.coalesce(F.size(clean_ref_ids(F.col("ref_ids"))), F.lit(0)).alias("item_total"),
+        F.col("task_id").alias("claim_seq"),
+    )
+
+
+_STALE_FETCH = "task_id % 5 <> 0 AND (wanted = 0 OR wanted > found)"
+
+
+@query(
+    "stale_outcomes",
+    f"""WITH {_REFS} SELECT task_id, 'accepted' AS verdict, 'failed' AS status, CAST(0 AS BIGINT) AS item_success, CAST(wanted AS BIGINT) AS item_error,
+            concat('stale_reference: ', CASE WHEN wanted = 0 THEN 'no_refs' ELSE 'feed_missing' END) AS last_error
+        FROM tasks WHERE {_STALE_FETCH}
+        UNION ALL SELECT task_id, 'unsupported_type', NULL, NULL, NULL, NULL FROM tasks WHERE task_id % 5 = 0""",
+)
+def stale_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = _typed_tasks(spark, sf_dir)
+    stale = cut_lineage(O.stale_tasks(tasks, _part_feeds(spark, sf_dir)))
+    reports = O.stale_outcomes(stale, tasks, "claim_seq", F.lit("1998-06-01").cast("timestamp_ntz"))
+    columns = ["task_id", "verdict", "status", "item_success", "item_error", "last_error"]
+    judged = task_outcomes(reports, tasks).select(columns)
+    other = stale.where(F.col("reason") == "unsupported_type").select("task_id", F.col("reason").alias("verdict"))
+    return judged.unionByName(other, allowMissingColumns=True)
+
+
+@query(
+    "stale_counters",
+    f"""WITH {_REFS} SELECT name AS counter_name, CASE WHEN name LIKE 'payload%' THEN (SELECT count(*) FROM tasks WHERE {_STALE_FETCH}) ELSE 0 END AS counter_value
+        FROM (VALUES ('stale_redis_task_ids_dropped'), ('embedding_tasks_requeued'), ('payload_rebuild_failures')) v(name)""",
+)
+def stale_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stale = O.stale_tasks(_typed_tasks(spark, sf_dir), _part_feeds(spark, sf_dir))
+    return runtime_counters(O.rebuild_failures(stale))
+
+
 @query(
     "completeness_violations",
     """WITH refs AS (SELECT DISTINCT l_orderkey AS task_id, l_partkey AS feed_id FROM lineitem WHERE l_partkey > 0),

@@ -39,14 +39,14 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User events as worker sessions of one day."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("session_id"),
-        F.when(F.col("user_id") % 3 == 0, "embedder").otherwise("rss_scrapper").alias("worker_type"),
+        F.when(F.col("user_id") % 3 == 0, "embedder").otherwise("fetcher").alias("worker_type"),
         F.date_trunc("day", "ts").cast("timestamp_ntz").alias("expires_at"),
     )
 
 
 @query(
     "active_sessions",
-    f"""SELECT CASE WHEN user_id % 3 = 0 THEN 'embedder' ELSE 'rss_scrapper' END AS worker_type, count(*) AS n
+    f"""SELECT CASE WHEN user_id % 3 = 0 THEN 'embedder' ELSE 'fetcher' END AS worker_type, count(*) AS n
         FROM events WHERE date_trunc('day', ts) >= TIMESTAMP '{EVENTS_AS_OF}' GROUP BY 1""",
 )
 def active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def runtime_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "worker_stats",
     f"""WITH {TASKS_SQL}, counters AS ({_COUNTERS})
-        SELECT (SELECT count(*) FROM events WHERE date_trunc('day', ts) >= TIMESTAMP '{AS_OF}') AS connected_workers,
+        SELECT (SELECT count(*) FROM events WHERE date_trunc('day', ts) >= TIMESTAMP '{EVENTS_AS_OF}') AS connected_workers,
             (SELECT count(*) FROM tasks WHERE status = 'pending' AND task_type = 'rss.fetch') AS pending_rss_tasks,
             (SELECT count(*) FROM tasks WHERE status = 'pending' AND task_type = 'embed.source') AS pending_embedding_tasks,
             (SELECT count(*) FROM tasks t JOIN jobs j USING (job_id) WHERE {_EXPIRED} AND {_OPEN}) AS expired_claims,
@@ -91,8 +91,10 @@ def runtime_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
             (SELECT counter_value FROM counters WHERE counter_name LIKE 'payload%') AS payload_rebuild_failures""",
 )
 def worker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sessions are brought to the clock of the tasks.
+    expires = F.col("expires_at") - (ntz(EVENTS_AS_OF) - ntz(AS_OF))
     return W.worker_stats(
-        _sessions(spark, sf_dir), tasks(spark, sf_dir), jobs(spark, sf_dir), _deltas(spark, sf_dir), ntz(AS_OF)
+        _sessions(spark, sf_dir).withColumn("expires_at", expires), tasks(spark, sf_dir), jobs(spark, sf_dir), _deltas(spark, sf_dir), ntz(AS_OF)
     )
 
 

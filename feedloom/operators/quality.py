@@ -69,26 +69,30 @@ def _event_rules(v: Column, e: Column) -> Column:
     return F.concat(own, F.coalesce(sources, F.array().cast(_VIOLATION)))
 
 
-def violations() -> Column:
-    """All broken rules of an envelope row as ``(rule, event_pos, source_pos)``, found without a shuffle."""
+def violations(typed: bool = False) -> Column:
+    """All broken rules of an envelope row as ``(rule, event_pos, source_pos)``, found without a shuffle.
+
+    ``typed``: rows have ``type_errors``, as parsed from JSON; a rule broken in both ways counts once.
+    """
     none = F.lit(None)
     envelope = F.array(
         _broken("parse", ~F.col("parse_error"), none, none),
         _broken("contract_version", _length_between(F.col("contract_version"), 1, MAX_CONTRACT_VERSION), none, none),
     )
     events = F.flatten(F.transform(F.col("result_events"), _event_rules))
-    return F.filter(F.concat(envelope, F.coalesce(events, F.array().cast(_VIOLATION))), lambda b: b.isNotNull())
+    found = F.filter(F.concat(envelope, F.coalesce(events, F.array().cast(_VIOLATION))), lambda b: b.isNotNull())
+    return F.array_distinct(F.concat(found, F.col("type_errors").cast(_VIOLATION))) if typed else found
 
 
 def contract_violations(envelopes: DataFrame) -> DataFrame:
     """One row per broken rule of each parsed envelope."""
-    found = envelopes.select("envelope_id", F.explode(violations()).alias("v"))
+    found = envelopes.select("envelope_id", F.explode(violations("type_errors" in envelopes.columns)).alias("v"))
     return found.select("envelope_id", "v.rule", "v.event_pos", "v.source_pos")
 
 
 def split_valid(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good, quarantine)``: one broken rule rejects the whole envelope."""
-    judged = envelopes.withColumn("violations", violations())
+    judged = envelopes.withColumn("violations", violations("type_errors" in envelopes.columns)).drop("type_errors")
     broken = F.size("violations") > 0
     return judged.where(~broken).drop("violations"), judged.where(broken)
 

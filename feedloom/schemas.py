@@ -14,6 +14,8 @@ ENVELOPE = (
     f"contract_version STRING, result_events ARRAY<{EVENT}>, "
     "local_dedup STRUCT<article_keys: ARRAY<STRING>, content_keys: ARRAY<STRING>>"
 )
+#: An envelope as it is read: numbers are text until they are known to be whole.
+RAW_ENVELOPE = ENVELOPE.replace("feed_id: BIGINT", "feed_id: STRING").replace("status_code: INT", "status_code: STRING")
 ARTICLES = (
     "article_key STRING, content_key STRING, published_at TIMESTAMP, ingested_at TIMESTAMP, "
     "canonical_url STRING, title STRING, summary STRING, image_url STRING, country STRING, "

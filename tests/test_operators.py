@@ -215,3 +215,31 @@ def test_envelopes_from_files(spark, tmp_path):
     ]
     events = results_source.result_events(accepted).collect()
     assert [(r.envelope_id, r.event_pos, r.feed_id) for r in events] == [(0, 0, 1)]
+
+
+def test_json_types_are_checked(spark):
+    def body(source=None, event=None, **envelope):
+        one = {"title": "t", "summary": None, "urls": ["https://a.example/1"], "authors": ["x"]} | (source or {})
+        item = {"feed_id": 1, "job_id": "j", "status": "ok", "status_code": 200, "sources": [one]} | (event or {})
+        return json.dumps({"contract_version": "1", "result_events": [item]} | envelope)
+
+    cases = [
+        (body(), set()), (body(event={"feed_id": "5", "status_code": "304"}), set()), (body(event={"feed_id": 5.0}), set()),
+        (body(event={"status_code": None, "new_etag": None}), set()),
+        (body(source={"title": 5}), {"title"}), (body(source={"summary": {"a": 1}}), {"summary"}),
+        (body(source={"authors": None}), {"authors"}), (body(source={"authors": [1]}), {"authors"}),
+        (body(source={"urls": [7]}), {"url"}), (body(event={"job_id": 7}), {"job_id"}),
+        (body(event={"feed_id": 1.5}), {"feed_id"}), (body(event={"feed_id": True}), {"feed_id"}),
+        (body(event={"status_code": "x"}), {"status_code"}), (body(event={"status_code": False}), {"status_code"}),
+        (body(event={"sources": None}), {"sources"}), (body(contract_version=1), {"contract_version"}),
+        (body(result_events=None), {"result_events"}), (body() + " more", {"parse"}), (body() + "," + body(), {"parse"}),
+        (None, {"parse", "contract_version"}), ("", {"parse", "contract_version"}),
+    ]
+    raw = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "envelope_id long, body string")
+    parsed = results_source.parse_results(raw)
+    got = {i: set() for i in range(len(cases))}
+    for row in quality.contract_violations(parsed).collect():
+        got[row.envelope_id].add(row.rule)
+    assert got == {i: rules for i, (_, rules) in enumerate(cases)}
+    accepted = quality.split_valid(parsed)[0]
+    assert {r.feed_id for r in results_source.result_events(accepted).collect()} == {1, 5}

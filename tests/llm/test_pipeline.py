@@ -8,7 +8,7 @@ import re
 import corpus_pipeline
 import pytest
 import test_native
-import test_operators
+import test_text_operators
 
 from feedloom.llm import langid
 
@@ -44,7 +44,7 @@ def test_language_stage_keeps_known_languages(spark, steps):
 
 def test_near_duplicate_stage(steps):
     _, before, after = steps[1]
-    want = test_operators.brute_components([(r.doc_id, r.text) for r in before.collect()], 80)
+    want = test_text_operators.brute_components([(r.doc_id, r.text) for r in before.collect()], 80)
     assert {r.doc_id for r in after.collect()} == {i for i, x in want.items() if x[2]}
 
 

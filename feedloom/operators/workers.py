@@ -58,13 +58,11 @@ def claimable_backlog(
 def runtime_counters(deltas: DataFrame) -> DataFrame:
     """Sum of the positive deltas of each known counter; a counter without any is zero."""
     useful = deltas.where(F.col("counter_name").isin(RUNTIME_COUNTERS) & (F.col("amount") > 0))
-    summed = useful.groupBy("counter_name").agg(F.sum("amount").alias("_sum"))
-    names = deltas.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(n) for n in RUNTIME_COUNTERS])).alias("counter_name")
-    )
-    return names.join(summed, "counter_name", "left").select(
-        "counter_name", F.coalesce("_sum", F.lit(0)).cast("bigint").alias("counter_value")
+    zero = deltas.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(n) for n in RUNTIME_COUNTERS])).alias("counter_name"), F.lit(0).alias("amount")
     )
+    amounts = useful.select("counter_name", F.col("amount").cast("bigint").alias("amount")).unionByName(zero)
+    return amounts.groupBy("counter_name").agg(F.sum("amount").alias("counter_value"))
 
 
 def worker_stats(

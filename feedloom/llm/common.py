@@ -48,13 +48,23 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until ``df`` has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe from lost executors, pruned by column."""
     return cut_lineage(df)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into runs of rows with about ``most`` bytes in column ``text``, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of at most ``rows`` rows with about ``most`` bytes in column ``text``, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,7 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            to = min(max(at + 1, int(np.searchsorted(ends, before + most, "right"))), at + rows)
             yield batch.slice(at, to - at)
             at = to
 
@@ -72,6 +82,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Powers kept for the next slice; those of a longer text are made for it and dropped with it.
+_KEPT_POWERS = 1 << 21
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -79,7 +91,9 @@ def _power(base: int, n: int) -> np.ndarray:
     if have is None or have.size < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
+        have = np.cumprod(steps)
+        if n <= _KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 

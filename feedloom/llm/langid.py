@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import slices
+from feedloom.llm.common import slices, unused
 
 UNKNOWN = "und"
 #: Length of the vectors. The cosine of unrelated texts is off by about 1 / sqrt(DIMENSION).
@@ -25,6 +25,9 @@ DIMENSION = 512
 MAX_LANGUAGES = 2048
 #: Code points worked on at once. A longer text is cut into overlapping blocks whose trigrams add up.
 BLOCK = 1 << 16
+#: Texts bundled at once, and trigram vectors made at once: together they bound the matrices of a task.
+OWNERS = 64
+KINDS = 4096
 
 _letter = np.zeros(0, bool)
 _vectors: dict[int, np.ndarray] = {}
@@ -58,7 +61,10 @@ def letters(text: str) -> np.ndarray:
 
 
 def bundle(pieces: list[np.ndarray], owners: list[int], n: int) -> np.ndarray:
-    """Bundled trigram vectors by owner, an int64 matrix of ``n`` rows; ``pieces`` are results of :func:`letters`."""
+    """Bundled trigram vectors by owner, an int64 matrix of ``n`` rows; ``pieces`` are results of :func:`letters`.
+
+    At most ``BLOCK`` letters of ``OWNERS`` pieces are counted at once, and the vectors of ``KINDS`` trigrams made at once.
+    """
     out = np.zeros((n, DIMENSION), np.int64)
     queue, who, size = [], [], 0
 
@@ -72,12 +78,19 @@ def bundle(pieces: list[np.ndarray], owners: list[int], n: int) -> np.ndarray:
         row = np.repeat(np.arange(len(queue)), lengths)
         inside = row[2:] == row[:-2]
         grams = ((ids[:-2] * k + ids[1:-1]) * k + ids[2:])[inside]
-        kinds, grams = np.unique(grams, return_inverse=True)
+        pairs, counts = np.unique(grams * len(queue) + row[2:][inside], return_counts=True)
+        kinds, at = np.unique(pairs // len(queue), return_inverse=True)
+        rows = pairs % len(queue)
         table = np.stack([_vector(int(c)) for c in alphabet])
-        vectors = np.roll(table, 2, 1)[kinds // (k * k)] * np.roll(table, 1, 1)[kinds // k % k] * table[kinds % k]
-        counts = np.bincount(row[2:][inside] * kinds.size + grams, minlength=len(queue) * kinds.size)
-        # Whole numbers below 2**24 are exact in single precision.
-        sums = counts.reshape(len(queue), -1).astype(np.float32) @ vectors.astype(np.float32)
+        sums = np.zeros((len(queue), DIMENSION), np.float32)
+        for start in range(0, kinds.size, KINDS):
+            some = kinds[start : start + KINDS]
+            vectors = np.roll(table, 2, 1)[some // (k * k)] * np.roll(table, 1, 1)[some // k % k] * table[some % k]
+            mine = slice(*np.searchsorted(at, [start, start + KINDS]))
+            dense = np.zeros((len(queue), some.size), np.float32)
+            dense[rows[mine], at[mine] - start] = counts[mine]
+            # Whole numbers below 2**24 are exact in single precision.
+            sums += dense @ vectors.astype(np.float32)
         np.add.at(out, who, sums.astype(np.int64))
         queue.clear(), who.clear()
         size = 0
@@ -87,7 +100,7 @@ def bundle(pieces: list[np.ndarray], owners: list[int], n: int) -> np.ndarray:
             queue.append(codes[at : at + BLOCK + 2])
             who.append(owner)
             size += queue[-1].size
-            if size >= BLOCK:
+            if size >= BLOCK or len(queue) >= OWNERS:
                 flush()
     flush()
     return out
@@ -132,11 +145,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     names = list(prototypes)
     units = np.array([v / max(np.sqrt((v.astype(float) ** 2).sum()), 1.0) for v in prototypes.values()])
     columns = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    source = docs.select(*columns, F.col(text).alias("_text"))
+    (body,) = unused(docs, "_text")
+    source = docs.select(*columns, F.col(text).alias(body))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
-            codes = [letters(t or "") for t in part.column("_text").to_pylist()]
+        for part in slices(batches, body):
+            codes = [letters(t or "") for t in part.column(body).to_pylist()]
             rows = bundle(codes, list(range(len(codes))), len(codes)).astype(float)
             empty = np.array([c.size < 3 for c in codes])
             if names:

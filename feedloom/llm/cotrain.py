@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stored
+from feedloom.llm.common import stored, unused
 
 #: Hash bins of words and of metadata.
 WORD_BINS, META_BINS = 1 << 13, 1 << 8
@@ -94,7 +94,11 @@ def cotrain(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     pool_ids = _sample(docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti"), pool_rows)
     ids = stored(ids.unionByName(pool_ids.withColumn("label", F.lit(None).cast("double"))))
     # At most labelled_rows + pool_rows ids of 16 bytes.
-    picked = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    picked = docs.join(F.broadcast(ids), "doc_id")
+    once = picked.groupBy("doc_id").agg(F.min(F.xxhash64(*docs.columns)).alias("_row"))  # of rows sharing an id always the same one
+    (row,) = unused(docs, "_row")
+    picked = picked.withColumn(row, F.xxhash64(*docs.columns)).join(once.withColumnRenamed("_row", row), ["doc_id", row], "left_semi")
+    picked = picked.dropDuplicates(["doc_id"])
     rows = stored(_views(picked).select("doc_id", "label", "content", "meta", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0).alias("held")))
     train, held = rows.where("label is not null and not held"), rows.where("label is not null and held")
     if train.select("label").distinct().count() < 2 or held.select("label").distinct().count() < 2:

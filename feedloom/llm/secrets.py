@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import small_side, stored
+from feedloom.llm.common import small_side, stored, unused
 
 #: Furthest distance, in code points, between parts of one credential.
 SCOPE = 200
@@ -134,12 +134,13 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", key: s
     Spans come back to their rows by id and text hash, so texts without spans do not move where the list is small.
     """
     print_ = F.xxhash64(text)
-    found = find_secrets(docs.select(F.col(key).alias("_id"), print_.alias("_print"), F.col(text).alias("_body")), ["_id", "_print"], "_body")
-    found = stored(found.where(F.size("spans") > 0).select("_id", "_print", F.col("spans").alias("_spans")).dropDuplicates(["_id", "_print"]))
-    rows = docs.join(small_side(found, 512), docs[key].eqNullSafe(found["_id"]) & (print_ == found["_print"]), "left")
+    id_, hash_, spans = unused(docs, "_id", "_print", "_spans")
+    found = find_secrets(docs.select(F.col(key).alias(id_), print_.alias(hash_), F.col(text).alias("_body")), [id_, hash_], "_body")
+    found = stored(found.where(F.size("spans") > 0).select(id_, hash_, F.col("spans").alias(spans)).dropDuplicates([id_, hash_]))
+    rows = docs.join(small_side(found, 512), docs[key].eqNullSafe(found[id_]) & (print_ == found[hash_]), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     joined = F.aggregate(
-        "_spans", zero,
+        spans, zero,
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
             s["end"].alias("at"),
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(

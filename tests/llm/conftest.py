@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Columns of documents; extra ones bear names that the operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, at int, id string, block long, key long"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, size long, at int, id string, block long, key long, "
+    "_text string, _spans string, _id long, _print long, target double, taken long, copies long, _row long"
+)
 LONG = "Über allen Gipfeln ist Ruh, in allen Wipfeln spürest du kaum einen Hauch. " * 4000
 
 
@@ -20,7 +23,7 @@ def odd_rows(spark):
         (8, "12 34 !? ½ ▁ 中文字 🙂   a\x00b İÉé", None, "😀", 9), (None, "the cat and the dog", "en", "b", 2),
         (9, "a", "en", "", 1), (10, "<s>  </s> ▁▁x  y▁ z ", None, None, 3), (11, LONG + "Ende", "de", "a", 7),
     ]
-    rows = [(*r, 1, 2, "x", 3, 4) for r in said]
+    rows = [(*r, 1, 2, "x", 3, 4, "y", "z", 5, 6, 0.5, 7, 8, 9) for r in said]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

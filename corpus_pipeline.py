@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import chosenpath, decontaminate, langid, mixing, secrets
-from feedloom.llm.common import small_side, stored, table
+from feedloom.llm.common import small_side, stored, table, unused
 from feedloom.session import configure
 
 #: Cosine below which a text is in none of the learned languages.
@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not ids.where("kept").head(1):
         return left.select(docs.columns)
     again = stored(ids.where("kept").select("doc_id"))
-    first = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    whole = F.struct(*docs.columns)
+    first = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
     return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
 
 
@@ -56,11 +57,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with ``copies``, ``taken`` words and their source's ``target``."""
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("_print"), "source", mixing.words().alias("size")))
     targets = mixing.source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    mixed = stored(mixing.mix(rows, targets).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), "_print", "target", "taken", (F.col("taken") / F.col("size")).cast("long").alias("copies"),
-    ).dropDuplicates(["_id", "_print"]))
-    same = docs["doc_id"].eqNullSafe(mixed["_id"]) & (F.xxhash64(docs["text"]) == mixed["_print"])
-    return docs.join(small_side(mixed, 48), same).select(*docs.columns, "target", "taken", "copies")
+    id_, hash_ = unused(docs, "_id", "_print")
+    taken = mixing.mix(rows, targets).where("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("_print").alias(hash_))
+    mixed = stored(taken.agg(F.max("target").alias("target"), F.max("taken").alias("taken"), F.max((F.col("taken") / F.col("size")).cast("long")).alias("copies")))
+    columns = [c for c in docs.columns if c not in ("target", "taken", "copies")]
+    docs = docs.select(columns)
+    same = docs["doc_id"].eqNullSafe(mixed[id_]) & F.xxhash64(docs["text"]).eqNullSafe(mixed[hash_])
+    return docs.join(small_side(mixed, 48), same).select(*columns, "target", "taken", "copies")
 
 
 STAGES = [

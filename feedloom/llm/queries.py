@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chosenpath, cotrain, decontaminate, langid, lzprint, mixing, quotes, secrets, suffix, tokens
+from feedloom.llm import bpe, chosenpath, cotrain, decontaminate, langid, lzprint, mixing, permuterm, quotes, runs, secrets, suffix, tokens
 from feedloom.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "TOKENIZER"]
 
 TOKENIZER = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -68,3 +69,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_spelling_variants")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.spelling_forms(permuterm.corpus_words(table(spark, sf_dir, "documents")))
+
+
+@query("op12_periodic_runs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_bpe_round_trip")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))

@@ -10,7 +10,7 @@ The trie is kept as the sorted list of its words, which is its depth-first order
 it where the two first differ, and the states of the path up to there are its own.
 
 Words do not move between tasks: finding the tokens of a word costs less than sending it. Tasks remember the tokens of words
-they have seen, up to :data:`REMEMBERED` words. Words beyond :data:`LONG_WORD` bytes take the same steps along paths of
+they have seen, up to about twice :data:`REMEMBERED` words. Words beyond :data:`LONG_WORD` bytes take the same steps along paths of
 their own, without being remembered.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import slices
 
 LONG_WORD = 256
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 REMEMBERED_PAIRS = 1 << 20
 #: Code points cut into words at once; cuts are made where a space follows another character, which no word spans.
 CHUNK = 1 << 19
@@ -127,6 +127,7 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self._pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _apart(self, x: int, y: int, until: int) -> bool:
         """Whether no merge with a number below ``until`` joins the end of token ``x`` with the start of ``y``.
@@ -159,20 +160,22 @@ class Vocabulary:
 
     def extend(self, word: bytes, last: list[int] | array) -> None:
         """Append to ``last`` the last token of the encoding of each prefix of ``word``; ``last[i]`` is the one of ``i`` bytes."""
-        ids, endings, pairs, missing = self.ids, self.endings, self._pairs, -1
+        ids, endings, pairs, missing, longest = self.ids.get, self.endings.get, self._pairs.get, -1, self.longest
         for end in range(len(last), len(word) + 1):
-            token = ids.get(word[:end]) if end <= self.longest else None
+            token = ids(word[:end]) if end <= longest else None
             if token is None:
                 found = []
                 for start in range(end - 1, 0, -1):
-                    token = endings.get(word[start:end], missing)
+                    token = endings(word[start:end], missing)
                     if token == missing:
                         break
                     if token is not None:
                         found.append((start, token))
-                for start, token in reversed(found):
-                    apart = pairs.get(last[start] << 32 | token)
-                    if self.follows(last[start], token) if apart is None else apart:
+                while found:
+                    start, token = found.pop()
+                    before = last[start]
+                    apart = pairs(before << 32 | token)
+                    if self.follows(before, token) if apart is None else apart:
                         break
             last.append(token)
 
@@ -217,17 +220,24 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, 4 bytes each."""
         cut = [list(self.cut_words(t or "")) for t in texts]
-        words = {w for text in cut for words in text for w in words}
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, words
+        words = set().union(*(part for text in cut for part in text))
+        known, older = self.known, self.older
+        if len(known) >= REMEMBERED:
+            # Words of the last REMEMBERED new ones that come again are taken over, so common words stay.
+            known, older = {}, known
+            self.known, self.older = known, older
+        new = words - known.keys()
+        again = new & older.keys()
+        known.update((w, older[w]) for w in again)
+        new -= again
         special = new & self.special.keys()
         found = self.encode_words([w.encode() for w in new - special])
-        self.known |= {w: found[w.encode()] for w in new - special} | {w: np.array([self.special[w]], "<u4").tobytes() for w in special}
-        out = [b"".join([self.known[w] for words in text for w in words]) for text in cut]
+        known.update((w, found[w.encode()]) for w in new - special)
+        known.update((w, struct.pack("<I", self.special[w])) for w in special)
+        out = [b"".join([known[w] for part in text for w in part]) for text in cut]
         for w in new:
             if len(w) > LONG_WORD:
-                del self.known[w]
+                del known[w]
         return out
 
     def decode(self, ids: bytes) -> str:

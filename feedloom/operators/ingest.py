@@ -13,6 +13,7 @@ from feedloom.operators.feeds import feed_runtime
 from feedloom.operators.language import Detector
 from feedloom.operators.quality import split_valid
 from feedloom.operators.resolve import resolve
+from feedloom.operators.resultsets import resolve_sets
 from feedloom.operators.skew import CHUNK_ROWS, restrict
 from feedloom.schemas import ARTICLES, FEED_RUNTIME
 from feedloom.session import cut_lineage, scratch
@@ -21,6 +22,7 @@ from feedloom.sources.store import KeyedTable
 
 # Room for the events of one envelope in an event number, and envelopes per chunk of an ordered fold.
 EVENT_BITS = 20
+MAX_ENVELOPE = 1 << (63 - EVENT_BITS)
 ENVELOPES_PER_CHUNK = 4_096
 
 
@@ -65,12 +67,17 @@ def ingest_candidates(
 ) -> None:
     """Merge a candidate batch as ``version``, reading the store as of the version before.
 
-    Each table gets only its changed rows. Running the same version again gives the same store.
+    Candidates with a ``set_id`` are resolved set by set, each against the store that the sets before it left; others as one
+    set. Each table gets only its changed rows. Running the same version again gives the same store.
     """
     with scratch(candidates.sparkSession) as root:
         articles = store.articles.read(version - 1)
         batch = cut_lineage(candidates, root)
-        _write(cut_lineage(resolve(batch, articles, chunk_rows, order, root), root), articles, store, version, as_of)
+        if "set_id" in batch.columns:
+            resolved = resolve_sets(batch, articles, as_of, chunk_rows, order, root, ENVELOPES_PER_CHUNK)
+        else:
+            resolved = resolve(batch, articles, chunk_rows, order, root)
+        _write(cut_lineage(resolved, root), articles, store, version, as_of)
 
 
 def _write(resolved: DataFrame, articles: DataFrame, store: FeedStore, version: int, as_of: Column) -> None:
@@ -102,8 +109,12 @@ def ingest_events(
     detector: Detector | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> None:
-    """Candidates, merge and feed health for a batch of valid result events with ``event_seq``."""
-    ingest_candidates(build_candidates(events, contexts, detector), store, version, as_of, chunk_rows)
+    """Candidates, merge and feed health for a batch of valid result events numbered by :func:`number_events`.
+
+    Every envelope is a result set of its own, so the store does not depend on how envelopes are dealt to batches.
+    """
+    candidates = build_candidates(events, contexts, detector).withColumn("set_id", F.shiftright("event_seq", EVENT_BITS))
+    ingest_candidates(candidates, store, version, as_of, chunk_rows)
     results = events.select(
         "feed_id",
         F.col("event_seq").alias("seq"),
@@ -118,9 +129,13 @@ def ingest_events(
 
 
 def number_events(envelopes: DataFrame) -> DataFrame:
-    """Result events of valid envelopes with ``event_seq``, their place in the total order."""
+    """Result events of valid envelopes with ``event_seq``, their place in the total order.
+
+    The number has room for 2**20 events of an envelope and for ids from 0 to 2**43 - 1; others end the job with an error.
+    """
     number = F.shiftleft(F.col("envelope_id"), EVENT_BITS) + F.col("event_pos")
-    fits = F.assert_true(F.col("event_pos") < (1 << EVENT_BITS), F.lit("too many events in one envelope"))
+    room = (F.col("event_pos") < (1 << EVENT_BITS)) & F.col("envelope_id").between(0, MAX_ENVELOPE - 1)
+    fits = F.assert_true(room, F.lit("too many events in one envelope, or an envelope id out of range"))
     return result_events(envelopes).withColumn("event_seq", F.when(fits.isNull(), number))
 
 

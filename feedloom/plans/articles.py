@@ -11,6 +11,7 @@ from feedloom.functions.text import identity_text
 from feedloom.operators import merge
 from feedloom.operators.candidates import build_candidates, feed_context, flag_duplicates
 from feedloom.operators.resolve import best_by_content, resolve
+from feedloom.operators.resultsets import resolve_sets
 from feedloom.plans import mapping as M
 from feedloom.plans.registry import query, sql_stamp, stamp, table
 from feedloom.session import cut_lineage
@@ -279,6 +280,61 @@ def article_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show_articles(merge.merge_articles(stored_articles(spark, sf_dir), resolved, as_of))
 
 
+#: Documents in one result set.
+SET_ROWS = 40
+
+# The same walk over result sets: the maps of a set start empty, and a set looks up the articles that the sets before it left.
+_SET_WALK = f"""{_WALK.split("walk AS (")[0]}
+    walk AS (
+        SELECT -1::BIGINT AS doc_id, -1::BIGINT AS set_id, NULL::VARCHAR AS art, false AS root, MAP {{'': ''}} AS keys, MAP {{'': ''}} AS contents,
+            start.articles AS before, start.articles AS articles
+        FROM (SELECT map(list(k ORDER BY k), list({{'ck': ck, 'p': published_at, 'i': ingested_at}} ORDER BY k)) AS articles FROM stored) start
+        UNION ALL
+        SELECT b.doc_id, b.set_id, s.art, s.known IS NULL,
+            map_concat(m.keys, CASE WHEN s.known IS NULL THEN MAP {{s.art: s.art}} ELSE MAP {{'': ''}} END, MAP {{b.k: s.art}}),
+            CASE WHEN b.ck IS NULL THEN m.contents ELSE map_concat(m.contents, MAP {{b.ck: s.art}}) END,
+            m.before,
+            CASE WHEN s.known IS NOT NULL THEN w.articles ELSE map_concat(w.articles, MAP {{s.art: {{
+                'ck': coalesce(w.articles[s.art].ck, b.ck), 'p': coalesce(w.articles[s.art].p, b.published),
+                'i': coalesce(w.articles[s.art].i, TIMESTAMP '{AS_OF}')}}}}) END
+        FROM walk w JOIN (
+                SELECT doc_id, doc_id // {SET_ROWS} AS set_id, k, ck, CASE WHEN doc_id % 4 <> 0 THEN TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE END AS published
+                FROM content) b ON b.doc_id = w.doc_id + 1,
+            LATERAL (SELECT CASE WHEN b.set_id = w.set_id THEN w.keys ELSE MAP {{'': ''}} END AS keys,
+                CASE WHEN b.set_id = w.set_id THEN w.contents ELSE MAP {{'': ''}} END AS contents,
+                CASE WHEN b.set_id = w.set_id THEN w.before ELSE w.articles END AS before) m,
+            LATERAL (SELECT coalesce(m.keys[b.k], m.contents[coalesce(b.ck, '-')]) AS known,
+                coalesce(m.keys[b.k], m.contents[coalesce(b.ck, '-')], CASE WHEN m.before[b.k] IS NOT NULL THEN b.k END,
+                    list_sort(list_transform(list_filter(map_entries(m.before), lambda e: e.value.ck = b.ck),
+                        lambda e: {{'p': coalesce(e.value.p, TIMESTAMP '1900-01-01'), 'i': e.value.i, 'k': e.key}}), 'DESC')[1].k,
+                    b.k) AS art) s),
+    resolved AS (SELECT doc_id, art, root FROM walk WHERE doc_id >= 0)
+"""
+
+
+@query("article_resolution_sets", f"{_SET_WALK} SELECT doc_id AS seq, art AS resolved_key, root AS is_root FROM resolved")
+def article_resolution_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved_sets(spark, sf_dir).select("seq", "resolved_key", "is_root")
+
+
+def in_sets(candidates: DataFrame) -> DataFrame:
+    return candidates.withColumn("set_id", F.floor(F.col("seq") / SET_ROWS).cast("long"))
+
+
+def _resolved_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = cut_lineage(in_sets(batch_candidates(table(spark, sf_dir, "documents"))))
+    return resolve_sets(batch, cut_lineage(stored_articles(spark, sf_dir)), F.lit(AS_OF).cast("timestamp"))
+
+
+SETS_UPSERT_SQL = UPSERT_SQL.replace(_WALK, _SET_WALK)
+
+
+@query("article_upsert_sets", SETS_UPSERT_SQL)
+def article_upsert_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = cut_lineage(_resolved_sets(spark, sf_dir))
+    return show_articles(merge.merge_articles(stored_articles(spark, sf_dir), resolved, F.lit(AS_OF).cast("timestamp")))
+
+
 _NAMED = """(SELECT doc_id, p AS position, CASE p WHEN 1 THEN concat(upper(source[1]), source[2:]) ELSE concat('Zoé ', lang) END AS name,
     CASE p WHEN 1 THEN source ELSE concat('zoe ', lang) END AS normalized_name FROM documents, (VALUES (1), (2)) v(p) WHERE doc_id % 3 <> 0)"""
 

@@ -14,12 +14,15 @@ from feedloom.operators.language import Detector
 from feedloom.operators.quality import split_valid
 from feedloom.operators.resolve import resolve
 from feedloom.operators.resultsets import resolve_sets
-from feedloom.operators.skew import CHUNK_ROWS, restrict
+from feedloom.operators.skew import CHUNK_ROWS
 from feedloom.schemas import ARTICLES, FEED_RUNTIME
 from feedloom.session import cut_lineage, scratch
 from feedloom.sources.results import parse_results, result_events
+from feedloom.sources.partitioned import PartitionedTable
 from feedloom.sources.store import KeyedTable
 
+Table = KeyedTable | PartitionedTable
+
 # Room for the events of one envelope in an event number, and envelopes per chunk of an ordered fold.
 EVENT_BITS = 20
 MAX_ENVELOPE = 1 << (63 - EVENT_BITS)
@@ -30,12 +33,12 @@ ENVELOPES_PER_CHUNK = 4_096
 class FeedStore:
     """The tables a batch writes, below one root."""
 
-    articles: KeyedTable
-    authors: KeyedTable
-    author_lists: KeyedTable
-    feed_links: KeyedTable
-    urls: KeyedTable
-    runtime: KeyedTable
+    articles: Table
+    authors: Table
+    author_lists: Table
+    feed_links: Table
+    urls: Table
+    runtime: Table
 
     def compact(self, version: int) -> None:
         """Fold the changes of every table up to ``version`` into a new base."""
@@ -43,8 +46,14 @@ class FeedStore:
             table.compact(version)
 
     @staticmethod
-    def at(spark: SparkSession, root: str) -> FeedStore:
-        table = lambda name, keys, schema: KeyedTable(spark, f"{root}/{name}", keys, schema)
+    def at(spark: SparkSession, root: str, parts: int | None = None) -> FeedStore:
+        """Tables below ``root``; with ``parts`` in so many hash partitions each, so that a batch reads those of its keys."""
+
+        def table(name: str, keys: list[str], schema: str) -> Table:
+            if parts is None:
+                return KeyedTable(spark, f"{root}/{name}", keys, schema)
+            return PartitionedTable(spark, f"{root}/{name}", keys, schema, parts)
+
         return FeedStore(
             articles=table("articles", ["article_key"], ARTICLES),
             authors=table("authors", ["normalized_name"], "normalized_name STRING, display_name STRING"),
@@ -88,14 +97,14 @@ def _write(resolved: DataFrame, articles: DataFrame, store: FeedStore, version:
     store.urls.write(merge.url_owners(resolved), version)
 
 
-def _new_rows(rows: DataFrame, table: KeyedTable, version: int) -> DataFrame:
+def _new_rows(rows: DataFrame, table: Table, version: int) -> DataFrame:
     """The rows whose keys the table did not have before ``version``."""
-    return rows.join(restrict(table.read(version - 1), rows, table.keys), list(table.keys), "left_anti")
+    return rows.join(table.lookup(rows, version - 1), list(table.keys), "left_anti")
 
 
-def update_runtime(results: DataFrame, table: KeyedTable, version: int, chunk_rows: int = CHUNK_ROWS) -> None:
+def update_runtime(results: DataFrame, table: Table, version: int, chunk_rows: int = CHUNK_ROWS) -> None:
     """Fold a batch of results into the stored feed health."""
-    before = restrict(table.read(version - 1), results, ["feed_id"])
+    before = table.lookup(results, version - 1)
     changed = feed_runtime(results, before, chunk_rows)
     table.write(changed.join(results.select("feed_id").distinct(), "feed_id", "left_semi"), version)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from feedloom.operators.skew import bounded
+from feedloom.operators.skew import bounded, restrict
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,10 @@ class KeyedTable:
         untouched = base.join(bounded(newest.select(*self.keys)), list(self.keys), "left_anti")
         return untouched.select(names).unionByName(newest)
 
+    def lookup(self, wanted: DataFrame, version: int | None = None) -> DataFrame:
+        """The rows whose keys occur in ``wanted``."""
+        return restrict(self.read(version), wanted, self.keys)
+
     def compact(self, version: int) -> None:
         """Fold all changes up to ``version`` into a new base."""
         self.write_base(self.read(version), version)

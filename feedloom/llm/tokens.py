@@ -78,7 +78,7 @@ def frequent_pieces(docs: DataFrame, path: str, share: float = FREQUENT) -> dict
     """Pieces of the pre-tokens that a share of all documents holds. The list routes rows; counts do not depend on it."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 8 << 20, 1 << 20):
             words, _, token, _ = _frequencies(part.column("text").to_pylist())
             n = np.bincount(token, minlength=len(words))
             keep = np.flatnonzero(n >= max(2, share * part.num_rows))
@@ -106,7 +106,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((x, pa.list_(pa.int64())) for x in ("ids", "sizes", "sums")), *((x, pa.binary()) for x in ("words", "lengths", "spread", "docs", "freqs"))])
         block = TaskContext.get().partitionId() << 32
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 8 << 20, 1 << 20):
             block += 1
             texts = part.column("text").to_pylist()
             words, doc, token, freq = _frequencies(texts)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +92,24 @@ def flag_duplicates(candidates: DataFrame, articles: DataFrame) -> DataFrame:
     unique ``seq``. So no row is ever grouped with the other rows of its key. The candidates are read several times.
     """
 
+    def stored(key: str, first: DataFrame) -> DataFrame:
+        return restrict(articles.where(F.col(key).isNotNull()), first, [key], unique=True).select(key).distinct()
+
+    return _flagged(candidates, stored)
+
+
+def flag_duplicates_in(candidates: DataFrame, tables: Mapping[str, Any]) -> DataFrame:
+    """The same hint against keyed tables, one per key column and unique on it.
+
+    With indexed tables the key filters answer for most new keys, and nothing is read for these.
+    """
+    return _flagged(candidates, lambda key, first: tables[key].lookup(first).select(key))
+
+
+def _flagged(candidates: DataFrame, stored: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
     def firsts(key: str, name: str) -> DataFrame:
         first = candidates.where(F.trim(key) != "").groupBy(key).agg(F.min("seq").alias("seq"))
-        stored = restrict(articles.where(F.col(key).isNotNull()), first, [key], unique=True).select(key).distinct()
-        return first.join(stored.withColumn("_stored", F.lit(True)), key, "left").select(
+        return first.join(stored(key, first).withColumn("_stored", F.lit(True)), key, "left").select(
             "seq", F.col("_stored").isNull().alias(name)
         )
 

@@ -40,9 +40,12 @@ class FeedStore:
     urls: Table
     runtime: Table
 
+    def tables(self) -> tuple[Table, ...]:
+        return self.articles, self.authors, self.author_lists, self.feed_links, self.urls, self.runtime
+
     def compact(self, version: int) -> None:
         """Fold the changes of every table up to ``version`` into a new base."""
-        for table in (self.articles, self.authors, self.author_lists, self.feed_links, self.urls, self.runtime):
+        for table in self.tables():
             table.compact(version)
 
     @staticmethod

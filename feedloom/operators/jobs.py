@@ -14,7 +14,7 @@ TERMINAL = ["cancelled", "completed", "completed_with_errors", "failed"]
 STARTED = ["processing", "paused", *TERMINAL]
 MAX_ERROR_TEXT = 2000
 
-_COUNTS = [
+COUNTS = [
     "task_total", "task_processed", "item_success", "item_error",
     "processing_count", "pending_count", "cancelled_count",
 ]
@@ -49,7 +49,7 @@ def status_of_counts() -> Column:
 
 def job_status(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Counts and status of every job, also of jobs without tasks."""
-    counts = jobs.select("job_id").join(job_progress(tasks), "job_id", "left").na.fill(0, _COUNTS)
+    counts = jobs.select("job_id").join(job_progress(tasks), "job_id", "left").na.fill(0, COUNTS)
     return counts.withColumn("status", status_of_counts())
 
 

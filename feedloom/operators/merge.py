@@ -119,6 +119,30 @@ def author_bridge(lists: DataFrame) -> DataFrame:
     )
 
 
+def bridge_changes(lists: DataFrame) -> DataFrame:
+    """Rows that enter or leave the bridge between two versions of the author lists.
+
+    ``lists`` has ``article_key`` and the rows ``before`` and ``after`` with their ``authors``. Returns ``article_key,
+    position, normalized_name, change`` (``insert`` or ``delete``); a list that stayed gives nothing.
+    """
+
+    def placed(row: str) -> Column:
+        names = F.coalesce(F.col(row)["authors"], F.array().cast("array<string>"))
+        return F.transform(names, lambda name, i: F.struct((i + 1).alias("position"), name.alias("normalized_name")))
+
+    rows = lists.select("article_key", placed("before").alias("old"), placed("after").alias("new"))
+    mark = lambda rows, change: F.transform(rows, lambda r: F.struct(r["position"].alias("position"), r["normalized_name"].alias("normalized_name"), F.lit(change).alias("change")))
+    both = F.concat(mark(F.array_except("old", "new"), "delete"), mark(F.array_except("new", "old"), "insert"))
+    return rows.select("article_key", F.inline(both))
+
+
+def apply_bridge_changes(bridge: DataFrame, changes: DataFrame) -> DataFrame:
+    """The bridge after ``changes``."""
+    names = ["article_key", "position", "normalized_name"]
+    gone = changes.where("change = 'delete'").select(names)
+    return bridge.join(gone, names, "left_anti").select(names).unionByName(changes.where("change = 'insert'").select(names))
+
+
 def author_lists(bridge: DataFrame, authors: DataFrame) -> DataFrame:
     """Display names of each article in position order."""
     named = salted_join(bridge, authors, "normalized_name", spread=["article_key", "position"], how="inner")

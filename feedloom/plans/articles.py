@@ -123,11 +123,17 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM cand""",
 )
 def duplicate_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = cut_lineage(_candidates(spark, sf_dir).select("seq", "event_seq", "article_key", "content_key"))
-    stored = batch.join(_good(spark, sf_dir, "event_seq"), "event_seq", "left_semi").groupBy("article_key").agg(F.min_by("content_key", "seq").alias("content_key"))
+    batch, stored = hinted_batch(spark, sf_dir)
+    stored = stored.groupBy("article_key").agg(F.min_by("content_key", "seq").alias("content_key"))
     return flag_duplicates(batch, stored).select("event_seq", "seq.source_pos", "duplicate_hint")
 
 
+def hinted_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Keys of all candidates, and those of them that are stored already."""
+    batch = cut_lineage(_candidates(spark, sf_dir).select("seq", "event_seq", "article_key", "content_key"))
+    return batch, batch.join(_good(spark, sf_dir, "event_seq"), "event_seq", "left_semi")
+
+
 def _good(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Ids of the documents labelled as good; they play the part of what is stored already."""
     return table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias(name))

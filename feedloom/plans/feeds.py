@@ -327,3 +327,43 @@ def contract_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("envelope_id", F.lit(True).alias("accepted")).unionByName(
         bad.select("envelope_id", F.lit(False).alias("accepted"))
     )
+
+
+_BODY = (
+    '{"contract_version": "1", "result_events": [{"feed_id": %s, "job_id": "j", "status": "success", "status_code": 200, "new_etag": null, '
+    '"sources": [{"title": "%s", "summary": null, "urls": ["u"], "authors": ["A"]}]}]}'
+)
+#: By remainder: what is replaced in the body, by what, and the rules this breaks with event and source.
+_TYPE_CASES = [
+    ('"contract_version": "1"', '"contract_version": 1', [("contract_version", None, None)]),
+    ('"feed_id": ', '"feed_id": true, "was": ', [("feed_id", 0, None)]),
+    ('"job_id": "j"', '"job_id": 7', [("job_id", 0, None)]),
+    ('"status_code": 200', '"status_code": "many"', [("status_code", 0, None)]),
+    ('"new_etag": null', '"new_etag": 5', [("new_etag", 0, None)]),
+    ('"title": "', '"title": 12, "was": "', [("title", 0, 0)]),
+    ('"urls": ["u"]', '"urls": ["u", 3]', [("url", 0, 0)]),
+    ('"urls": ["u"]', '"urls": null', [("url", 0, 0), ("urls", 0, 0)]),
+    ('"authors": ["A"]', '"authors": [null]', [("authors", 0, 0)]),
+    ('"summary": null', '"summary": false', [("summary", 0, 0)]),
+    ('"status_code": 200', '"status_code": "200.0"', []),
+    ('"authors": ["A"]', '"authors": []', []),
+    ('"status": "success"', '"status": "done"', [("status", 0, None)]),
+    ('"summary": null, ', "", []),
+]
+
+
+def _type_rules() -> str:
+    show = lambda x: "NULL" if x is None else str(x)
+    rows = [f"({n}, '{rule}', {show(e)}, {show(p)})" for n, (_, _, rules) in enumerate(_TYPE_CASES) for rule, e, p in rules]
+    return f"SELECT doc_id AS envelope_id, rule, event_pos, source_pos FROM documents JOIN (VALUES {', '.join(rows)}) r(n, rule, event_pos, source_pos) ON n = doc_id % {len(_TYPE_CASES)}"
+
+
+@query("contract_bodies", _type_rules())
+def contract_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON bodies with a value of a wrong type each, by remainder."""
+    n = F.col("doc_id") % len(_TYPE_CASES)
+    body = F.format_string(_BODY, (F.col("doc_id") + 1).cast("string"), F.md5("text"))
+    cases = F.array(*[F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")) for old, new, _ in _TYPE_CASES])
+    case = F.element_at(cases, (n + 1).cast("int"))
+    raw = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("envelope_id"), F.replace(body, case["old"], case["new"]).alias("body"))
+    return Q.contract_violations(parse_results(raw))

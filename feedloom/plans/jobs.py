@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from feedloom.operators import jobs as J
 from feedloom.operators import workers as W
 from feedloom.functions.keys import clean_ref_ids, parse_payload_ref, payload_ref
+from feedloom.operators.progress import ProgressStore, advance, current_status
 from feedloom.plans.registry import query, sql_stamp, stamp, table
+from feedloom.session import scratch_path
 
 AS_OF = "1998-06-01 00:00:00"
 EVENTS_AS_OF = "2024-01-20 00:00:00"
@@ -103,6 +105,60 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.select("job_id", "task_total", "task_processed", "item_success", "item_error", "status")
 
 
+_AFTER_TWO = "CASE part % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' ELSE 'processing' END"
+
+
+@query(
+    "job_status_batches",
+    f"""WITH {TASKS_SQL}, numbered AS (
+            SELECT *, CAST(string_split(task_id, '-')[3] AS BIGINT) AS part, CAST(string_split(task_id, '-')[4] AS BIGINT) AS supp FROM tasks),
+        states AS (
+            SELECT 1 AS version, job_id, 'pending' AS status, 0 AS good, 0 AS bad FROM numbered
+            UNION ALL SELECT 2, job_id, {_AFTER_TWO}, 0, CASE WHEN part % 3 = 1 THEN 1 ELSE 0 END FROM numbered
+            UNION ALL SELECT 3, job_id + CASE WHEN supp % 10 = 0 THEN 1 ELSE 0 END, CASE WHEN supp % 2 = 0 THEN status ELSE {_AFTER_TWO} END,
+                CASE WHEN supp % 2 = 0 THEN coalesce(item_success, 0) ELSE 0 END,
+                CASE WHEN supp % 2 = 0 THEN coalesce(item_error, 0) WHEN part % 3 = 1 THEN 1 ELSE 0 END FROM numbered),
+        known AS (SELECT DISTINCT v.version, job_id FROM states s JOIN (VALUES (1), (2), (3)) v(version) ON s.version <= v.version),
+        counts AS (
+            SELECT version, job_id, count(*) AS task_total, count(*) FILTER (status IN ('completed', 'failed', 'cancelled')) AS task_processed,
+                sum(good) AS item_success, sum(bad) AS item_error, count(*) FILTER (status = 'processing') AS processing_count,
+                count(*) FILTER (status = 'pending') AS pending_count, count(*) FILTER (status = 'cancelled') AS cancelled_count
+            FROM states GROUP BY ALL)
+        SELECT CAST(version AS INTEGER) AS version, job_id, coalesce(task_total, 0) AS task_total, coalesce(task_processed, 0) AS task_processed,
+            CAST(coalesce(item_success, 0) AS BIGINT) AS item_success, CAST(coalesce(item_error, 0) AS BIGINT) AS item_error,
+            CASE WHEN task_total IS NULL THEN 'completed'
+                WHEN processing_count > 0 OR (pending_count > 0 AND task_processed > 0) THEN 'processing' WHEN pending_count > 0 THEN 'queued'
+                WHEN cancelled_count > 0 THEN 'cancelled' WHEN item_error > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status
+        FROM known LEFT JOIN counts USING (version, job_id)""",
+)
+def job_status_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of all jobs after each of three batches of task changes; the last moves tasks to other jobs."""
+    store = ProgressStore.at(spark, scratch_path(spark, "progress"), parts=16)
+    for version, changes in enumerate(task_batches(tasks(spark, sf_dir)), 1):
+        advance(store, changes, version)
+    shown = ["job_id", "task_total", "task_processed", "item_success", "item_error", "status"]
+    found = [current_status(store, version=v).select(F.lit(v).alias("version"), *shown) for v in (1, 2, 3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def task_batches(rows: DataFrame) -> list[DataFrame]:
+    """All tasks as pending; two steps of some of them; the state, items and job that every second one ends with."""
+    ids = F.split("task_id", "-")
+    part, supp = ids[2].cast("bigint"), ids[3].cast("bigint")
+    none = F.lit(None).cast("bigint")
+
+    def change(seq: int, status: Column, good: Column, bad: Column, job: Column = F.col("job_id")) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), job.alias("job_id"), status.alias("status"), good.alias("item_success"), bad.alias("item_error"))
+
+    steps = [
+        F.array(change(1, F.lit("pending"), none, none)),
+        F.when(part % 3 == 1, F.array(change(2, F.lit("processing"), none, none), change(3, F.lit("failed"), none, F.lit(1).cast("bigint"))))
+        .when(part % 3 == 2, F.array(change(3, F.lit("processing"), none, none), change(2, F.lit("completed"), F.lit(9).cast("bigint"), none))),
+        F.when(supp % 2 == 0, F.array(change(4, F.col("status"), F.col("item_success"), F.col("item_error"), F.col("job_id") + (supp % 10 == 0).cast("bigint")))),
+    ]
+    return [rows.select("task_id", F.inline(s)) for s in steps]
+
+
 def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User events as status changes of a job per user."""
     status = (

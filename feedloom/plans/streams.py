@@ -13,6 +13,7 @@ from feedloom.plans import workers as J
 from feedloom.plans.registry import query, sql_stamp, stamp
 from feedloom.schemas import FEED_RUNTIME
 from feedloom.session import scratch_path
+from feedloom.sources.partitioned import PartitionedTable
 from feedloom.sources.store import KeyedTable
 from feedloom.streaming import streams as S
 
@@ -100,8 +101,6 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "rates")
     results = P.runtime_results(_source(spark, sf_dir, "events", _EVENTS)).select(F.col("at").cast("timestamp").alias("at"), "status")
-    table = KeyedTable(
-        spark, f"{root}/table", ["window_start"], "window_start TIMESTAMP, window_end TIMESTAMP, results BIGINT, errors BIGINT"
-    )
-    _finish(S.to_table(S.result_rates(results, delay=None), table, f"{root}/checkpoint"))
+    table = PartitionedTable(spark, f"{root}/table", ["window_start"], S.RATES, parts=16)
+    _finish(S.stream_rates(results, table, f"{root}/checkpoint"))
     return table.read().withColumns({"window_start": stamp("window_start"), "window_end": stamp("window_end")})

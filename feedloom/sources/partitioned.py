@@ -6,7 +6,9 @@ another writer was first. A layer that no manifest names does not exist, so neit
 file decides what is read.
 
 A lookup by keys reads the partitions these keys hash to, in the base and in the changes, and filters by the keys below the
-fold of the changes: its cost follows the batch, not the table. Compaction folds all layers into one; layers and manifests
+fold of the changes: its cost follows the batch, not the table. An ``indexed`` table has a Bloom filter of the keys for every
+partition of every layer; a lookup asks these first, reads the partitions of the layers that may hold one of the keys, and of
+them the rows whose key is wanted, so a wrong yes costs a read and never a row. Compaction folds all layers into one; layers and manifests
 that are not needed any more are removed by rule.
 """
 
@@ -16,13 +18,17 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from feedloom.operators.skew import restrict
+from feedloom.operators.skew import bounded, restrict
+from feedloom.session import cut_lineage
+from feedloom.sources import keyindex
 
 PARTS = 64
 #: Changes on top of a base before :meth:`PartitionedTable.maintain` folds them, and manifests it keeps for readers.
@@ -39,6 +45,7 @@ class PartitionedTable:
     keys: Sequence[str]
     schema: str
     parts: int = PARTS
+    indexed: bool = False
 
     def _struct(self) -> StructType:
         return StructType.fromDDL(self.schema)
@@ -98,7 +105,14 @@ class PartitionedTable:
         laid = rows.select(*self._struct().names, self._part()).repartition(self.parts, "part")
         laid.write.partitionBy("part").parquet(path)
         parts = [int(n.split("=")[1]) for n in self._names("data", f"layer={name}") if n.startswith("part=")]
-        return {"name": name, "version": version, "parts": parts}
+        return {"name": name, "version": version, "parts": parts} | (self._index(name) if self.indexed and parts else {})
+
+    def _index(self, name: str) -> dict[str, Any]:
+        """Write the filters of a layer and tell their size, which follows its largest partition."""
+        rows = self._rows([name])
+        blocks = keyindex.blocks_for(rows.groupBy("part").count().agg(F.max("count")).first()[0])
+        keyindex.build(rows, self.keys, blocks).write.mode("overwrite").parquet(f"{self.root}/index/layer={name}")
+        return {"blocks": blocks}
 
     def newest(self) -> int:
         """The last committed version, 0 of an empty table."""
@@ -113,28 +127,76 @@ class PartitionedTable:
         self._commit(number + 1, {"version": version, "layers": [*manifest["layers"], layer]})
         return True
 
+    def _rows(self, names: list[str]) -> DataFrame:
+        schema = StructType(self._struct().fields).add("layer", StringType()).add("part", IntegerType())
+        paths = [f"{self.root}/data/layer={name}" for name in names]
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+
     def _load(self, layers: list[dict[str, Any]], touched: list[int] | None) -> DataFrame | None:
         used = [x for x in layers if x["parts"] and (touched is None or not set(touched).isdisjoint(x["parts"]))]
         if not used:
             return None
-        schema = StructType(self._struct().fields).add("layer", StringType()).add("part", IntegerType())
-        paths = [f"{self.root}/data/layer={x['name']}" for x in used]
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+        rows = self._rows([x["name"] for x in used])
         return rows if touched is None else rows.where(F.col("part").isin(touched))
 
+    def _hits(self, keys: DataFrame, layers: list[dict[str, Any]]) -> DataFrame:
+        """``keys`` with every ``layer`` and ``part`` whose filter does not deny them; layers without filters deny nothing."""
+        schema = "layer STRING, part INT, block BIGINT, bits BINARY"
+        sized = F.explode(F.array(*[F.struct(F.lit(x["name"]).alias("layer"), F.lit(x.get("blocks", 0)).alias("blocks"), F.array(*map(F.lit, x["parts"])).alias("parts")) for x in layers]))
+        asked = keys.select(*self.keys, self._part(), sized.alias("x")).where(F.array_contains("x.parts", F.col("part")))
+        asked = asked.select(*self.keys, "part", "x.layer", "x.blocks")
+        plain = asked.where("blocks = 0").select(*self.keys, "layer", "part")
+        paths = [f"{self.root}/index/layer={x['name']}" for x in layers if x.get("blocks")]
+        if not paths:
+            return plain
+        index = self.spark.read.schema(schema).option("basePath", f"{self.root}/index").parquet(*paths)
+        asked = asked.where("blocks > 0").select(*self.keys, "part", "layer", keyindex.block_of(self.keys, F.col("blocks")).alias("block"), keyindex.positions(self.keys).alias("at"))
+        found = index.join(bounded(asked), ["layer", "part", "block"]).where(keyindex.may_hold(F.col("bits"), F.col("at")))
+        return found.select(*self.keys, "layer", "part").unionByName(plain)
+
+    def hits(self, wanted: DataFrame, version: int | None = None) -> tuple[DataFrame, dict[str, list[int]]]:
+        """What a lookup by ``wanted`` reads: keys with the layers and partitions that may hold them, and these by layer.
+
+        The driver gets one row per layer and partition at most.
+        """
+        layers = [x for x in self._manifest(version)[1]["layers"] if x["parts"]]
+        keys = wanted.select(*self.keys).distinct()
+        if not layers:
+            return keys.select(*self.keys, F.lit("").alias("layer"), F.lit(0).alias("part")).limit(0), {}
+        found = cut_lineage(self._hits(keys, layers))
+        named = found.groupBy("layer").agg(F.sort_array(F.collect_set("part")).alias("parts")).collect()
+        return found, {r["layer"]: r["parts"] for r in named}
+
+    def _load_hits(self, layers: list[dict[str, Any]], found: DataFrame, named: dict[str, list[int]]) -> DataFrame | None:
+        used = {x["name"]: named[x["name"]] for x in layers if x["name"] in named}
+        if not used:
+            return None
+        named_parts = reduce(or_, [(F.col("layer") == name) & F.col("part").isin(parts) for name, parts in used.items()])
+        wanted = found.select(*self.keys, "layer").where(F.col("layer").isin(list(used)))
+        return self._rows(list(used)).where(named_parts).join(bounded(wanted), [*self.keys, "layer"], "left_semi")
+
     def read(self, version: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
         """The table as of ``version`` (default: the newest), or the rows of it whose keys occur in ``wanted``."""
-        names = self._struct().names
         _, manifest = self._manifest(version)
-        touched, keys = None, None
-        if wanted is not None:
+        found = []
+        if wanted is not None and self.indexed:
+            hits, named = self.hits(wanted, version)
+            load = lambda layers: self._load_hits(layers, hits, named)
+        elif wanted is not None:
             keys = wanted.select(*self.keys).distinct()
             touched = sorted(r.part for r in keys.select(self._part()).distinct().collect())  # ``parts`` numbers at most
-        found = []
+
+            def load(layers: list[dict[str, Any]]) -> DataFrame | None:
+                rows = self._load(layers, touched)
+                return rows if rows is None else restrict(rows, keys, self.keys, unique=True)
+        else:
+            load = lambda layers: self._load(layers, None)
         for kind in ("base", "change"):
-            rows = self._load([x for x in manifest["layers"] if x["kind"] == kind], touched)
-            found.append(rows if rows is None or keys is None else restrict(rows, keys, self.keys, unique=True))
-        base, changes = found
+            found.append(load([x for x in manifest["layers"] if x["kind"] == kind]))
+        return self._folded(*found)
+
+    def _folded(self, base: DataFrame | None, changes: DataFrame | None) -> DataFrame:
+        names = self._struct().names
         if changes is None:
             return (self.spark.createDataFrame([], self._struct()) if base is None else base).select(names)
         row = F.struct(*names)
@@ -143,6 +205,22 @@ class PartitionedTable:
             return newest
         return base.join(newest.select(*self.keys), list(self.keys), "left_anti").select(names).unionByName(newest)
 
+    def changes(self, since: int, until: int | None = None) -> DataFrame:
+        """Keys whose row differs between two versions, with the rows ``before`` (null: none yet) and ``after``.
+
+        Needs the layers of all versions in between, so it has to be asked before a compaction of them is :meth:`remove`-d.
+        """
+        until = self.newest() if until is None else until
+        whole = [m for m in map(self._load_manifest, self._manifests()) if m["version"] == until]
+        layers = [x for x in (whole[0]["layers"] if whole else []) if x["version"] > since]
+        if until > since and (not whole or any(x["kind"] == "base" for x in layers)):
+            raise ValueError(f"the changes of versions {since + 1} to {until} are not all kept")
+        rows = self._load(layers, None)
+        keys = (self.read(until).limit(0) if rows is None else rows).select(*self.keys).distinct()
+        new = self.read(until, keys).select(*self.keys, F.struct(*self._struct().names).alias("after"))
+        old = self.read(since, keys).select(*self.keys, F.struct(*self._struct().names).alias("before"))
+        return new.join(old, list(self.keys), "left").where(~F.col("before").eqNullSafe(F.col("after"))).select(*self.keys, "before", "after")
+
     def lookup(self, wanted: DataFrame, version: int | None = None) -> DataFrame:
         """The rows whose keys occur in ``wanted``; reads only the partitions these keys are in."""
         return self.read(version, wanted)
@@ -163,10 +241,11 @@ class PartitionedTable:
         for number in old:
             path, fs = self._path("manifest", f"{number:012d}.json")
             fs.delete(path, False)
-        for name in self._names("data"):
-            if name.removeprefix("layer=") not in named:
-                path, fs = self._path("data", name)
-                fs.delete(path, True)
+        for folder in ("data", "index"):
+            for name in self._names(folder):
+                if name.removeprefix("layer=") not in named:
+                    path, fs = self._path(folder, name)
+                    fs.delete(path, True)
 
     def maintain(self, changes: int = MAX_CHANGES, keep: int = KEPT_MANIFESTS) -> bool:
         """Compact and remove if there are ``changes`` layers of changes or more. To be called by the table's one writer."""

@@ -2,23 +2,27 @@
 
 A stream that keeps per-key state beyond counting does so in a keyed table: every micro-batch runs the batch operator
 on its rows and the stored rows of the keys it touches. A key with very many rows is then split like in a batch job,
-which a state store, holding each key in one task, could not do. Versions follow the batch number, so a batch that is
-repeated after a failure overwrites its own output.
+which a state store, holding each key in one task, could not do. Versions follow the batch number, counted on from the
+version its tables had when the checkpoint was new, so a batch that is repeated after a failure writes its own version again,
+and a new checkpoint on old tables goes on behind their history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.operators.ingest import FeedStore, ingest_candidates, ingest_envelopes, update_runtime
+from feedloom.operators.ingest import FeedStore, Table, ingest_candidates, ingest_envelopes, update_runtime
 from feedloom.operators.jobs import PROCESSED
 from feedloom.operators.language import Detector
+from feedloom.operators.progress import ProgressStore, advance
 from feedloom.operators.skew import CHUNK_ROWS
+from feedloom.session import cut_lineage, scratch
 from feedloom.sources.store import KeyedTable
 
 
@@ -27,12 +31,35 @@ def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parque
     return spark.readStream.schema(schema).options(**options).format(kind).load(path)
 
 
-def _each_batch(rows: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> StreamingQuery:
-    """Run ``work(batch, version)`` for what is available now; versions start at 1."""
+def _start_version(spark: SparkSession, checkpoint: str, tables: Sequence[Table]) -> int:
+    """The newest version of ``tables`` when this checkpoint was first used, kept in its folder."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/{name}")
+    fs = path("x").getFileSystem(context._jsc.hadoopConfiguration())
+    if not fs.exists(path("start_version")):
+        # A checkpoint with batches but without this file began at 0.
+        start = 0 if fs.exists(path("commits")) else max(table.newest() for table in tables)
+        draft = path(f".start-{uuid.uuid4().hex}")
+        stream = fs.create(draft)
+        stream.writeBytes(str(start))
+        stream.close()
+        fs.rename(draft, path("start_version"))
+    stream = fs.open(path("start_version"))
+    try:
+        return int(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _each_batch(
+    rows: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str, tables: Sequence[Table]
+) -> StreamingQuery:
+    """Run ``work(batch, version)`` for what is available now; versions follow those that ``tables`` had at the start."""
+    start = _start_version(rows.sparkSession, checkpoint, tables)
     return (
         rows.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, batch_id: work(batch, batch_id + 1))
+        .foreachBatch(lambda batch, batch_id: work(batch, start + batch_id + 1))
         .trigger(availableNow=True)
         .start()
     )
@@ -44,7 +71,7 @@ def stream_candidates(
 ) -> StreamingQuery:
     """Merge a stream of candidate rows into the store."""
     work = lambda batch, version: ingest_candidates(batch, store, version, as_of, chunk_rows, order)
-    return _each_batch(candidates, work, checkpoint, "append")
+    return _each_batch(candidates, work, checkpoint, "append", store.tables())
 
 
 def stream_ingest(
@@ -56,7 +83,7 @@ def stream_ingest(
     def work(batch: DataFrame, version: int) -> None:
         ingest_envelopes(batch, contexts, store, quarantine, version, as_of, detector)
 
-    return _each_batch(raw, work, checkpoint, "append")
+    return _each_batch(raw, work, checkpoint, "append", store.tables())
 
 
 def stream_feed_runtime(
@@ -64,7 +91,7 @@ def stream_feed_runtime(
 ) -> StreamingQuery:
     """Keep feed health up to date from a stream of results."""
     work = lambda batch, version: update_runtime(batch, runtime, version, chunk_rows)
-    return _each_batch(results, work, checkpoint, "append")
+    return _each_batch(results, work, checkpoint, "append", [runtime])
 
 
 #: What makes two result reports of a lease the same report.
@@ -84,7 +111,7 @@ def stream_new_reports(reports: DataFrame, seen: KeyedTable, checkpoint: str) ->
         same = reduce(Column.__and__, [first[k].eqNullSafe(known[f"_{k}"]) for k in REPORT_KEYS])
         seen.write(first.join(known, same, "left_anti"), version)
 
-    return _each_batch(reports, work, checkpoint, "append")
+    return _each_batch(reports, work, checkpoint, "append", [seen])
 
 
 def running_job_progress(outcomes: DataFrame) -> DataFrame:
@@ -108,6 +135,32 @@ def result_rates(results: DataFrame, width: str = "1 hour", delay: str | None =
     )
 
 
+RATES = "window_start TIMESTAMP, window_end TIMESTAMP, results BIGINT, errors BIGINT"
+
+
+def stream_rates(results: DataFrame, rates: Table, checkpoint: str, width: str = "1 hour") -> StreamingQuery:
+    """The counts of :func:`result_rates` in ``rates`` (keyed on ``window_start``, columns of ``RATES``), however late rows come.
+
+    No window is held as state: the counts of a batch are added to the stored rows of its windows alone, so memory follows the
+    windows of a batch, and a window that was thought finished still gets its late rows.
+    """
+
+    def work(batch: DataFrame, version: int) -> None:
+        with scratch(batch.sparkSession) as root:
+            counts = cut_lineage(result_rates(batch, width, None), root)
+            known = rates.lookup(counts, version - 1)
+            both = counts.unionByName(known).groupBy("window_start", "window_end")
+            rates.write(both.agg(F.sum("results").alias("results"), F.sum("errors").alias("errors")), version)
+
+    return _each_batch(results, work, checkpoint, "append", [rates])
+
+
+def stream_progress(changes: DataFrame, store: ProgressStore, checkpoint: str) -> StreamingQuery:
+    """Keep job progress up to date from a stream of task changes (columns of ``TASK_STATE`` and ``seq``)."""
+    work = lambda batch, version: advance(store, batch, version)
+    return _each_batch(changes, work, checkpoint, "append", [store.tasks])
+
+
 def to_files(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append finished rows to Parquet files."""
     writer = rows.writeStream.outputMode("append").format("parquet").option("path", path)
@@ -116,4 +169,4 @@ def to_files(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def to_table(rows: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
     """Store the rows that changed in each batch of an updating aggregate."""
-    return _each_batch(rows, lambda batch, version: table.write(batch, version), checkpoint, "update")
+    return _each_batch(rows, lambda batch, version: table.write(batch, version), checkpoint, "update", [table])

@@ -61,9 +61,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-@query("op2_quote_linking")
+@query("op2_quote_linking", quotes.SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return quotes.link_quotes(quotes.quoting_replies(table(spark, sf_dir, "conversations")))
 
 
 @query("op10_quality")

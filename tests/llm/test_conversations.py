@@ -88,10 +88,27 @@ def test_registered_conversations_keep_every_message(spark):
     from feedloom.llm.queries import QUERIES
 
     rows = QUERIES["op2_quote_linking"](spark, "/root/testdata/sf0.001").collect()
+    replies = [r for r in rows if r.turn > 0]
+    assert sum(r.n_linked > 0 and r.depth > 0 for r in replies) > 0.9 * len(replies) and {r.n_levels for r in replies} == {1, 2, 3}
     want = {(r.conv_id, r.turn): r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
     assert {(r.conv_id, r.turn): r.text for r in rows} == want
 
 
+def test_quoting_replies_link_as_the_walk_says(spark):
+    rows = [(c, t, "user", f"Line {t % 5} of {c}\n\nEnd {t}", 1, 2) for c in range(3) for t in range(12)]
+    rows += [(0, 3, "user", "Again", 0, 0), (0, 13, "user", None, 0, 0), (None, 1, "user", "x", 0, 0), (5, None, "user", "y", 0, 0)]
+    told = quotes.quoting_replies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(told) == len(rows) and all(r.text == "x" for r in told if r.conv_id is None)
+    (text,) = [r.text for r in told if (r.conv_id, r.turn) == (1, 10)]  # quotes the turns 8 and 7
+    assert text == "On turn 7, A. wrote:\n> >  Line 2 of 1\n> >  \n> >  End 7\nOn turn 8, A. wrote:\n>  Line 3 of 1\n>  \n>  End 8\nLine 0 of 1\n\nEnd 10"
+    one = {(r.conv_id, r.turn): r.text for r in told if r.conv_id in (1, 2)}
+    got = quotes.link_quotes(spark.createDataFrame([(c, t, "user", x, 1, 2) for (c, t), x in one.items()], SCHEMA)).collect()
+    want = brute_links(one)
+    for r in got:
+        assert [r.parent_turn, r.n_levels, r.n_quoted, r.n_linked, r.text, (r.thread_turn, r.depth)] == want[r.conv_id, r.turn]
+    assert quotes.quoting_replies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 # Co-training
 
 

@@ -8,6 +8,8 @@ passage the message before it. Threads follow quotes only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,17 +86,25 @@ def quoting_replies(messages: DataFrame) -> DataFrame:
 
 
 def _threads(links: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn``, ``thread_turn`` and ``depth`` of every linked turn, by pointer doubling."""
-    state = stored(links.select("conv_id", "turn", F.col("source_turn").alias("thread_turn"), F.lit(1).cast("long").alias("depth")))
+    """``conv_id``, ``turn``, ``thread_turn`` and ``depth`` of every linked turn, by pointer doubling.
+
+    A turn leaves the rounds when it points to a turn without link or to one that has left them, so each round works on the
+    turns of threads longer than twice those of the round before.
+    """
+    names = ["conv_id", "turn", "thread_turn", "depth"]
+    active = stored(links.select("conv_id", "turn", F.col("source_turn").alias("thread_turn"), F.lit(1).cast("long").alias("depth")))
+    settled: list[DataFrame] = []
     while True:
-        up = state.select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("_up"), F.col("depth").alias("_more"))
-        following = stored(
-            state.join(up, ["conv_id", "thread_turn"], "left")
-            .select("conv_id", "turn", F.coalesce("_up", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_up").isNotNull().alias("_moved"))
+        known = reduce(DataFrame.unionByName, [x.select(*names, F.lit(True).alias("done")) for x in settled], active.select(*names, F.lit(False).alias("done")))
+        up = known.select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("_up"), F.col("depth").alias("_more"), "done")
+        moved = stored(
+            active.join(up, ["conv_id", "thread_turn"], "left")
+            .select("conv_id", "turn", F.coalesce("_up", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.coalesce("done", F.lit(True)).alias("done"))
         )
-        state = following.drop("_moved")
-        if not following.where("_moved").head(1):
-            return state
+        settled.append(moved.where("done"))
+        active = moved.where(~F.col("done")).select(*names)
+        if not active.head(1):
+            return reduce(DataFrame.unionByName, [x.select(*names) for x in settled])
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:

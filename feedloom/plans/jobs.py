@@ -111,7 +111,8 @@ _AFTER_TWO = "CASE part % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' ELSE 'pro
 @query(
     "job_status_batches",
     f"""WITH {TASKS_SQL}, numbered AS (
-            SELECT *, CAST(string_split(task_id, '-')[3] AS BIGINT) AS part, CAST(string_split(task_id, '-')[4] AS BIGINT) AS supp FROM tasks),
+            SELECT *, CAST(string_split(task_id, '-')[3] AS BIGINT) AS part, CAST(string_split(task_id, '-')[4] AS BIGINT) AS supp FROM tasks
+            QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY requested_at DESC, status DESC, item_success DESC NULLS LAST, item_error DESC NULLS LAST) = 1),
         states AS (
             SELECT 1 AS version, job_id, 'pending' AS status, 0 AS good, 0 AS bad FROM numbered
             UNION ALL SELECT 2, job_id, {_AFTER_TWO}, 0, CASE WHEN part % 3 = 1 THEN 1 ELSE 0 END FROM numbered
@@ -142,7 +143,12 @@ def job_status_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_batches(rows: DataFrame) -> list[DataFrame]:
-    """All tasks as pending; two steps of some of them; the state, items and job that every second one ends with."""
+    """All tasks as pending; two steps of some of them; the state, items and job that every second one ends with.
+
+    Of rows that share a task id the one requested last counts.
+    """
+    latest = F.max(F.struct("requested_at", "status", "item_success", "item_error", "job_id")).alias("_row")
+    rows = rows.groupBy("task_id").agg(latest).select("task_id", "_row.*")
     ids = F.split("task_id", "-")
     part, supp = ids[2].cast("bigint"), ids[3].cast("bigint")
     none = F.lit(None).cast("bigint")

@@ -289,3 +289,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, key:
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+#: The query over ``documents`` at 85 percent, from all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spoken AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM words),
+runs AS (
+    SELECT doc_id, i, n, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS shingle
+    FROM spoken WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+distinct_runs AS (SELECT DISTINCT doc_id, shingle FROM runs WHERE i = 1 OR i <= n - 4),
+sizes AS (SELECT doc_id, count(*) AS size FROM distinct_runs GROUP BY doc_id),
+flat AS (SELECT doc_id, size, shingle FROM distinct_runs JOIN sizes USING (doc_id)),
+shared AS (SELECT shingle, row_number() OVER () AS id FROM flat GROUP BY shingle HAVING count(*) > 1),
+said AS (SELECT doc_id, size, id FROM flat JOIN shared USING (shingle)),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM said a JOIN said b ON a.id = b.id AND a.doc_id < b.doc_id AND 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size)
+    GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, y FROM reach r JOIN links ON x = other)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
+FROM (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""

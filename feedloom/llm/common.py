@@ -135,3 +135,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(start, ends)
     return span_hash(prefix_hash(data), start, end), np.diff(upto, prepend=0)
+
+
+#: Common tables that give ``crc``, the unsigned crc32 ``h`` of each text ``key`` of ``crc_keys``, half a byte at a time.
+CRC_SQL = """crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, range(4)), lambda c, _: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS step FROM range(16) t(i)),
+crc_code AS (SELECT key, hex(encode(key)) AS code FROM crc_keys),
+crc AS (
+    SELECT key, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(len(code)), lambda i: instr('0123456789ABCDEF', code[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END]) - 1)),
+        lambda c, x: xor(c >> 4, step[(xor(c, x) & 15) + 1]))) AS h
+    FROM crc_code, crc_table)"""

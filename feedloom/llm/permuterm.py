@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stored
+from feedloom.llm.common import CRC_SQL, stored
 
 TERMINATOR = "\x00"
 LONG_GAP = 64
@@ -169,3 +169,35 @@ def corpus_words(docs: DataFrame, least: int = LEAST_LENGTH, count: int = LEAST_
     said = docs.select(F.col(key), F.explode(runs).alias("run")).select(key, F.translate("run", _UPPER, _LOWER).alias("run"))
     said = said.select(misspelt(F.col("run"), key).alias("word")).where(F.length("word") >= least)
     return said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
+
+
+#: The query over ``documents``, from all pairs of words that share a gap.
+SQL = rf"""
+WITH RECURSIVE said AS (
+    SELECT doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents) GROUP BY ALL),
+crc_keys AS (SELECT DISTINCT concat(doc_id, ':', run) AS key FROM said),
+{CRC_SQL},
+hashed AS (SELECT run, times, h FROM said JOIN crc ON key = concat(doc_id, ':', run)),
+words AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+        SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+-- Two words are near if one is the other without a character, or both are the same without the character in one place.
+gaps AS (
+    SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+    SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON w.word = g.rest
+    UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON w.word = g.rest),
+best AS (
+    SELECT word, count(*) AS n_near, min(struct_pack(less := -n, code := encode(other))) AS top FROM pairs GROUP BY word),
+forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN -top.less >= 5 * w.n THEN decode(top.code) END AS form, CASE WHEN -top.less >= 5 * w.n THEN -top.less END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+chain(word, at_word, form) AS (
+    SELECT word, word, form FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.form)
+SELECT f.word, n, n_near, f.form, form_n, c.at_word AS root FROM forms f JOIN chain c ON c.word = f.word AND c.form IS NULL
+"""

@@ -41,7 +41,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-@query("op9_near_duplicates")
+@query("op9_near_duplicates", chosenpath.SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -56,7 +56,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", suffix.SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -71,12 +71,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op11_spelling_variants")
+@query("op11_spelling_variants", permuterm.SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permuterm.spelling_forms(permuterm.corpus_words(table(spark, sf_dir, "documents")))
 
 
-@query("op12_periodic_runs")
+@query("op12_periodic_runs", runs.SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(table(spark, sf_dir, "documents"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import slices
+from feedloom.llm.common import CRC_SQL, slices
 
 LEAST_LENGTH = 6
 LEAST_EXPONENT = 4
@@ -247,3 +247,44 @@ def run_report(docs: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: The query over ``documents``, from all pairs of equal words a candidate period apart.
+SQL = rf"""
+WITH crc_keys AS (SELECT CAST(doc_id AS VARCHAR) AS key FROM documents),
+{CRC_SQL},
+whole AS (
+    SELECT doc_id, h, h // 10 AS g, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+    FROM documents JOIN crc ON key = CAST(doc_id AS VARCHAR)),
+periodic AS (
+    SELECT doc_id, w, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) ELSE len(w) END AS a,
+        CASE WHEN h % 10 = 0 AND len(w) > 0 THEN 1 + (len(w) - g % len(w)) // (3 + g % 8) ELSE 1 END AS p FROM whole),
+source AS (SELECT doc_id, a, p, unnest(range(len(w))) AS i FROM periodic),
+said AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM periodic),
+words AS MATERIALIZED (
+    SELECT s.doc_id, s.i, word FROM source s JOIN said o ON o.doc_id = s.doc_id AND o.i = CASE WHEN s.i < a THEN s.i ELSE a + (s.i - a) % p END),
+-- A run of four periods or more has equal words at three neighbouring multiples of its period.
+places AS (
+    SELECT doc_id, q, unnest(range(0, n - 2 * q, q)) AS i FROM (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) // 4 + 1)) AS q FROM periodic)),
+steps AS MATERIALIZED (SELECT doc_id, q, i, word FROM places JOIN words USING (doc_id, i)),
+periods AS (
+    SELECT DISTINCT a.doc_id, a.q FROM steps a
+    JOIN words b ON b.doc_id = a.doc_id AND b.i = a.i + a.q AND b.word = a.word
+    JOIN words c ON c.doc_id = a.doc_id AND c.i = a.i + 2 * a.q AND c.word = a.word),
+equal AS (
+    SELECT a.doc_id, q, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id, q ORDER BY a.i) AS stretch
+    FROM periods p JOIN words a ON a.doc_id = p.doc_id JOIN words b ON b.doc_id = a.doc_id AND b.i = a.i + q AND b.word = a.word),
+stretches AS (
+    SELECT doc_id, q, min(i) AS start, CAST(count(*) + q AS BIGINT) AS length FROM equal GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+    SELECT * FROM stretches s WHERE NOT EXISTS (
+        SELECT 1 FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', q, chr(10)), '' ORDER BY start, q) AS list,
+        min(struct_pack(less := -length, start := start, q := q)) AS best FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT w.doc_id, w.i FROM words w JOIN runs r ON r.doc_id = w.doc_id AND w.i >= r.start + r.q AND w.i < r.start + r.length),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, -best.less AS length, best.q AS period,
+    CAST(1000 * -best.less // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

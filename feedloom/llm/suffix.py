@@ -261,3 +261,30 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     second = texts.groupBy("bucket").applyInPandas(compared, _ROW)
     return second.groupBy("block").cogroup(dealt).applyInPandas(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The query over ``documents``, from all windows of 50 bytes; texts are cut into short pieces first.
+SQL = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+-- Pieces of 128 starts, so that taking a window does not walk through a long text.
+pieces AS (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0), 128)) AS place FROM bytes),
+cut AS (SELECT doc_id, place, substr(h, 2 * place + 1, 2 * (128 + 49)) AS piece FROM pieces),
+windows AS (
+    SELECT doc_id, place + i AS start, unhex(substr(piece, 2 * i + 1, 100)) AS name
+    FROM (SELECT doc_id, place, piece, unnest(range(0, len(piece) // 2 - 49)) AS i FROM cut)),
+firsts AS (SELECT name, min(doc_id) AS first_doc FROM windows GROUP BY name HAVING count(*) > 1),
+repeated AS (SELECT doc_id, start FROM windows JOIN firsts USING (name) WHERE doc_id > first_doc),
+marked AS (
+    SELECT doc_id, start, CASE WHEN start > lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 50 THEN 1 ELSE 0 END AS fresh FROM repeated),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM marked),
+spans AS (SELECT doc_id, min(start) AS lo, max(start) + 50 AS hi FROM numbered GROUP BY doc_id, span),
+gaps AS (
+    SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans),
+kept AS (
+    SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS upto,
+        string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head
+    FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN upto IS NULL THEN h ELSE head || substr(h, 2 * upto + 1) END)) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+"""

@@ -8,9 +8,11 @@ compressed forms, agree. Sets smaller than the sketch are compared exactly.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +24,46 @@ from feedloom.llm.common import shuffle_partitions, slices
 
 #: Hashes kept of a fingerprint; the likeness is off by about 0.5 / sqrt(SKETCH).
 SKETCH = 64
-#: The phrase dictionary starts anew after so many symbols, which bounds its memory for any length of text.
-RESTART = 1 << 20
 # Letters of scripts written without spaces (from U+3000 on) are symbols of their own.
 _SYMBOL = re.compile(r"\s?(?:[^\W　-\U0010FFFF]+|\W)|.", re.S)
 _SMALLEST = -(1 << 63)
 
 
-def _phrases(symbols: list[str], known: set[str], open_: str) -> tuple[list[str], str]:
-    """New phrases of ``symbols`` and the unfinished one; ``known`` grows."""
-    found = []
-    for symbol in symbols:
-        open_ += symbol
-        if open_ not in known:
-            known.add(open_)
-            found.append(open_)
-            open_ = ""
-    return found, open_
+class _Phrases:
+    """The phrase dictionary as a trie of numbers: the child of node ``p`` by symbol number ``s`` has the key ``p << 32 | s``.
 
+    Node 0 is the empty phrase, node ``i + 1`` the phrase found as number ``i``. So a phrase costs one entry however long it is.
+    """
 
-def _hashes(phrases: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(p) >> 32 for p in phrases), np.uint32, len(phrases))
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.keys: list[int] = []
+        self.ends: list[int] = []  # number of symbols up to the end of each phrase
+
+    def parse(self, symbols: list[str], nodes: dict[int, int]) -> None:
+        """Go on with ``symbols`` behind a finished phrase; ``nodes`` maps the keys so far to ``node << 32`` and grows."""
+        numbers, keys, ends, node = self.numbers, self.keys, self.ends, 0
+        for symbol in dict.fromkeys(symbols):
+            numbers.setdefault(symbol, len(numbers))
+        for at, number in enumerate(map(numbers.__getitem__, symbols), 1):
+            key = node | number
+            node = nodes.get(key, 0)
+            if not node:
+                keys.append(key)
+                ends.append(at)
+                nodes[key] = len(keys) << 32
+
+    def upto(self, symbols: int) -> tuple[_Phrases, dict[int, int]]:
+        """The phrases that end within the first ``symbols``, to go on from there, and their nodes."""
+        n = bisect.bisect_right(self.ends, symbols)
+        other = _Phrases()
+        other.numbers, other.keys, other.ends = self.numbers, self.keys[:n], self.ends[:n]
+        return other, dict(zip(other.keys, range(1 << 32, n + 1 << 32, 1 << 32), strict=True))
+
+
+def _hashes(text: str, cuts: list[int]) -> np.ndarray:
+    """Hashes of the pieces of ``text`` between neighbouring ``cuts``."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) >> 32 for a, b in pairwise(cuts)), np.uint32, max(len(cuts) - 1, 0))
 
 
 def _sketch(*hashes: np.ndarray) -> np.ndarray:
@@ -59,38 +80,30 @@ class TextPrint:
     def __init__(self, text: str) -> None:
         self.text = text
         self.symbols = _SYMBOL.findall(text)
-        self.found: list[list[str]] = []  # phrases and their hashes between two restarts
-        self.runs: list[np.ndarray] = []
-        self.sketch = np.zeros(0, np.uint32)
-        for at in range(0, len(self.symbols), RESTART):
-            self.found.append(_phrases(self.symbols[at : at + RESTART], set(), "")[0])
-            self.runs.append(_hashes(self.found[-1]))
-            self.sketch = _sketch(self.sketch, self.runs[-1])
+        # Code points up to the end of each symbol, from 0 on.
+        self.places = np.cumsum(np.fromiter((0, *map(len, self.symbols)), np.int64, len(self.symbols) + 1))
+        self.phrases = _Phrases()
+        self.phrases.parse(self.symbols, {})
+        self.hashes = _hashes(text, self.places[[0, *self.phrases.ends]].tolist())
+        self.sketch = _sketch(self.hashes)
 
     def edited(self, tail: str, cut: int) -> tuple[str, np.ndarray]:
         """The text with what follows ``cut`` replaced by ``tail``, and its fingerprint.
 
-        Symbols that end before the cut are the same in both texts, so parsing goes on behind them.
+        Symbols that end before the cut are the same in both texts, so parsing goes on behind the last phrase of these.
         """
         new = self.text[:cut] + tail
-        ends = np.cumsum(np.fromiter(map(len, self.symbols), np.int64, len(self.symbols)))
-        same = int(np.searchsorted(ends, cut, "left"))  # symbols that end before the cut
-        start = same // RESTART  # the dictionary's restart before that point
-        here = int(ends[same - 1]) if same else 0
-        sketch, known, open_ = _sketch(np.zeros(0, np.uint32), *self.runs[:start]), set(), ""
-        if same > start * RESTART:
-            begin = int(ends[start * RESTART - 1]) if start else 0
-            upto = begin + np.cumsum([len(p) for p in self.found[start]])
-            n = int(np.searchsorted(upto, here, "right"))  # phrases finished before the cut
-            known, open_ = set(self.found[start][:n]), self.text[int(upto[n - 1]) if n else begin : here]
-            sketch = _sketch(sketch, self.runs[start][:n])
+        same = max(int(np.searchsorted(self.places, cut, "left")) - 1, 0)  # symbols that end before the cut
+        phrases, nodes = self.phrases.upto(same)
+        n = len(phrases.keys)
+        done = phrases.ends[-1] if n else 0
+        here = int(self.places[done])
         rest = _SYMBOL.findall(new, here)
-        room = RESTART - (same - start * RESTART)
-        found, _ = _phrases(rest[:room], known, open_)
-        sketch = _sketch(sketch, _hashes(found))
-        for at in range(room, len(rest), RESTART):
-            sketch = _sketch(sketch, _hashes(_phrases(rest[at : at + RESTART], set(), "")[0]))
-        return new, sketch
+        later = _Phrases()
+        later.numbers, later.keys = phrases.numbers, phrases.keys
+        later.parse(rest, nodes)
+        places = np.cumsum(np.fromiter((here, *map(len, rest)), np.int64, len(rest) + 1))
+        return new, _sketch(self.hashes[:n], _hashes(new, places[[0, *later.ends]].tolist()))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -109,7 +122,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
     The edit replaces the last ``floor(n_chars / 4)`` code points by as many first ones of the next document, or all it
     has. Documents follow each other by id (null first), repeated ids by text, and the first follows the last; a lone
-    document follows itself. A null text is empty.
+    document follows itself. A null text is empty. A text is parsed as a whole, its dictionary grows with it.
 
     Ids are cut into ranges of about equal size; the first document of a range also goes to the range before it. So
     each task reads a run of consecutive documents and meets each one's successor without a global sort in one place.

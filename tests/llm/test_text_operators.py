@@ -102,16 +102,19 @@ def test_fingerprints_against_a_sequential_walk(mixed):
     assert len(got) >= 200
 
 
-def test_restarts_keep_edited_texts_exact(monkeypatch):
-    monkeypatch.setattr(lzprint, "RESTART", 7)
-
-    def sketch(text):
-        return lzprint.fingerprint(text).tolist()
-
+def test_edited_texts_are_parsed_on_exactly():
     text = "one two three one two four one two three five 六七八 one two " * 3
     for cut in range(0, len(text), 5):
         new, got = lzprint.TextPrint(text).edited("one two six", cut)
-        assert got.tolist() == sketch(new)
+        assert got.tolist() == lzprint.fingerprint(new).tolist() == print_of(new).tolist()
+
+
+def test_a_very_long_text_is_parsed_by_one_dictionary():
+    text = "".join(f" w{i * i % 997}" for i in range(1_200_000))
+    own = lzprint.TextPrint(text)
+    assert own.sketch.tolist() == print_of(text).tolist()
+    new, got = own.edited("x" * 1000, len(text) - 1000)
+    assert got.tolist() == print_of(new).tolist()
 
 
 def test_likeness_of_small_sets_is_exact():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.keys import FETCH_TASK_PREFIX, clean_ref_ids
@@ -204,3 +204,34 @@ def rebuild_failures(stale: DataFrame) -> DataFrame:
     """Increments for :func:`feedloom.operators.workers.runtime_counters`: one for each stale fetch task."""
     failed = stale.where(F.col("reason") != "unsupported_type")
     return failed.select(F.lit(REBUILD_FAILURES).alias("counter_name"), F.lit(1).cast("bigint").alias("amount"))
+
+
+def feed_silences(results: DataFrame, hours: int, as_of: Column) -> DataFrame:
+    """The times up to ``as_of`` at which a feed had given no result for more than ``hours``, and what came before.
+
+    ``results``: ``feed_id, at, status``; those after ``as_of`` or without a time are not seen. One row per silence: ``feed_id``,
+    ``active_from`` (first result since the silence before), ``last_result_at``, ``silent_at`` (``hours`` later), and the number
+    of ``results`` and ``errors`` between the first two. Two results with more than ``hours`` between them have a silence.
+
+    Results are folded by feed and stretches of ``hours`` first, inside which no silence fits. So a busy feed moves one row
+    per stretch and task, and what meets per feed grows with the time covered, not with the results.
+    """
+    width = F.make_dt_interval(hours=F.lit(hours))
+    seen = results.where(F.col("at") <= as_of)
+    stretches = seen.groupBy("feed_id", F.window(F.col("at").cast("timestamp"), f"{hours} hours").alias("_stretch")).agg(
+        F.min("at").alias("_first"),
+        F.max("at").alias("_last"),
+        F.count(F.lit(1)).alias("_results"),
+        F.count_if(F.col("status") == ERROR).alias("_errors"),
+    )
+    order = Window.partitionBy("feed_id").orderBy("_first")
+    resumed = F.coalesce(F.col("_first") > F.lag("_last").over(order) + width, F.lit(False))
+    active = stretches.withColumn("_resumed", resumed).withColumn("_spell", F.count_if("_resumed").over(order))
+    spells = active.groupBy("feed_id", "_spell").agg(
+        F.min("_first").alias("active_from"),
+        F.max("_last").alias("last_result_at"),
+        F.sum("_results").alias("results"),
+        F.sum("_errors").alias("errors"),
+    )
+    told = spells.drop("_spell").withColumn("silent_at", F.col("last_result_at") + width)
+    return told.where(F.col("silent_at") <= as_of)

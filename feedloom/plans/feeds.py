@@ -54,6 +54,32 @@ def show_runtime(runtime: DataFrame) -> DataFrame:
     return runtime.withColumns({c: stamp(c) for c in times})
 
 
+SILENT_HOURS = 24
+
+
+def silences_sql(seen: str, told: str | None = None) -> str:
+    """Silences up to ``told``, from the results up to ``seen``."""
+    return f"""
+    WITH spoken AS (
+        SELECT user_id AS feed_id, ts, event_type = 'error' AS failed,
+            ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL {SILENT_HOURS} HOUR AS resumed
+        FROM events WHERE ts <= {seen}),
+    spells AS (SELECT *, count(*) FILTER (resumed) OVER (PARTITION BY feed_id ORDER BY ts) AS spell FROM spoken)
+    SELECT feed_id, {sql_stamp('min(ts)')} AS active_from, {sql_stamp('max(ts)')} AS last_result_at,
+        {sql_stamp(f'max(ts) + INTERVAL {SILENT_HOURS} HOUR')} AS silent_at, count(*) AS results, count(*) FILTER (failed) AS errors
+    FROM spells GROUP BY feed_id, spell HAVING max(ts) + INTERVAL {SILENT_HOURS} HOUR <= {told or seen}"""
+
+
+def show_silences(silences: DataFrame) -> DataFrame:
+    return silences.withColumns({c: stamp(c) for c in ("active_from", "last_result_at", "silent_at")})
+
+
+@query("feed_silences", silences_sql("TIMESTAMP '2024-01-20'"))
+def feed_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = runtime_results(table(spark, sf_dir, "events"))
+    return show_silences(O.feed_silences(results, SILENT_HOURS, F.lit("2024-01-20").cast("timestamp_ntz")))
+
+
 @query("feed_runtime", RUNTIME_SQL)
 def feed_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show_runtime(O.feed_runtime(runtime_results(table(spark, sf_dir, "events"))))

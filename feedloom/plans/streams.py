@@ -104,3 +104,16 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = PartitionedTable(spark, f"{root}/table", ["window_start"], S.RATES, parts=16)
     _finish(S.stream_rates(results, table, f"{root}/checkpoint"))
     return table.read().withColumns({"window_start": stamp("window_start"), "window_end": stamp("window_end")})
+
+
+# What the watermark has passed at the end: an hour behind the newest result, and all results count.
+_PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("stream_feed_silences", P.silences_sql("TIMESTAMP '9999-01-01'", _PASSED))
+def stream_feed_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "silences")
+    results = P.runtime_results(_source(spark, sf_dir, "events", _EVENTS)).select("feed_id", F.col("at").cast("timestamp").alias("at"), "status")
+    table = KeyedTable(spark, f"{root}/table", ["feed_id", "silent_at"], S.SILENCES)
+    _finish(S.stream_silences(results, table, f"{root}/checkpoint", P.SILENT_HOURS))
+    return P.show_silences(table.read())

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from feedloom.operators.feeds import ERROR
 from feedloom.operators.ingest import FeedStore, Table, ingest_candidates, ingest_envelopes, update_runtime
 from feedloom.operators.jobs import PROCESSED
 from feedloom.operators.language import Detector
@@ -155,6 +156,37 @@ def stream_rates(results: DataFrame, rates: Table, checkpoint: str, width: str =
     return _each_batch(results, work, checkpoint, "append", [rates])
 
 
+SILENCES = (
+    "feed_id BIGINT, active_from TIMESTAMP, last_result_at TIMESTAMP, silent_at TIMESTAMP, results BIGINT, errors BIGINT"
+)
+
+
+def running_silences(results: DataFrame, hours: int, delay: str) -> DataFrame:
+    """Silences of feeds, as :func:`feedloom.operators.feeds.feed_silences` defines them, from a stream of results.
+
+    A feed's results are one session until none has come for ``hours``; its end is the silence. It is told when the watermark,
+    ``delay`` behind the newest result of all feeds, has passed it, so a feed need not report again to be found silent. The
+    state holds the open sessions alone: some per feed, however many results they have. Results behind the watermark are left out.
+    """
+    gap = F.make_dt_interval(hours=F.lit(hours))
+    session = F.session_window("at", f"{hours} hours").alias("s")
+    sessions = results.withWatermark("at", delay).groupBy("feed_id", session).agg(
+        F.count(F.lit(1)).alias("results"), F.count_if(F.col("status") == ERROR).alias("errors")
+    )
+    end = F.col("s.end")
+    return sessions.select(
+        "feed_id", F.col("s.start").alias("active_from"), (end - gap).alias("last_result_at"), end.alias("silent_at"), "results", "errors"
+    )
+
+
+def stream_silences(
+    results: DataFrame, silences: Table, checkpoint: str, hours: int = 24, delay: str = "1 hour"
+) -> StreamingQuery:
+    """Add the silences of a stream of results to ``silences`` (keyed on ``feed_id`` and ``silent_at``, columns of ``SILENCES``)."""
+    work = lambda batch, version: silences.write(batch, version)
+    return _each_batch(running_silences(results, hours, delay), work, checkpoint, "append", [silences])
+
+
 def stream_progress(changes: DataFrame, store: ProgressStore, checkpoint: str) -> StreamingQuery:
     """Keep job progress up to date from a stream of task changes (columns of ``TASK_STATE`` and ``seq``)."""
     work = lambda batch, version: advance(store, batch, version)

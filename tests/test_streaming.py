@@ -99,7 +99,7 @@ def test_batch_equals_stream_and_survives_compaction(spark):
     assert runtime == {1: 0, 2: 4}
 
 
-@pytest.mark.parametrize("name", ["stream_feed_runtime", "stream_job_progress", "stream_dedup", "stream_rates"])
+@pytest.mark.parametrize("name", ["stream_feed_runtime", "stream_job_progress", "stream_dedup", "stream_rates", "stream_feed_silences"])
 def test_streams_do_not_depend_on_files_or_batches(spark, tmp_path, monkeypatch, name):
     """A table of three part files read one file a batch gives the rows of the whole table."""
     source, parts = "/root/testdata/sf0.001", tmp_path / "parts"

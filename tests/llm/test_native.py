@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -110,6 +111,50 @@ def test_secrets_against_brute_force(spark, mixed):
     assert not weak[11] and not weak[12] and weak[14] == {"identifier", "secret"}
 
 
+def paired_spans(text):
+    """Strong spans and the weak ones that some pair of parts speaks for, from all pairs of parts of a text."""
+    import regex
+
+    kinds = secrets._KINDS
+    strong = [(start, kind, end) for start, kind, end in base_spans(text)]
+    weak = [(m.start(), kinds.index(k), m.end()) for k, p in secrets._WEAK.items() for m in regex.finditer(p, text)]
+    for m in regex.finditer(secrets._ASSIGN, text):
+        value = regex.sub(secrets._VALUE, "", m.group())
+        if 4 <= len(value) < 8:
+            weak.append((m.start(), kinds.index("secret"), m.end()))
+    roles = {"i": {kinds.index("access"), kinds.index("identifier")}, "s": {kinds.index(k) for k in ("assign", "hex", "secret")}}
+    parts, added = [*strong, *weak], set()
+    for n, (start, kind, end) in enumerate(weak, len(strong)):
+        near = {
+            role for m, (a, k, b) in enumerate(parts) if m != n and max(a - end, start - b) <= secrets.SCOPE
+            for role, said in roles.items() if k in said
+        }
+        needs = {kinds.index("identifier"): {"s"}, kinds.index("secret"): {"i"}, kinds.index("endpoint"): {"i", "s"}}[kind]
+        if needs <= near and not any(a < end and start < b for a, _, b in strong):
+            added.add((start, kind, end))
+    return sorted([*strong, *added]), len(added), len(weak)
+
+
+def test_added_secrets_against_all_pairs(spark):
+    rng = random.Random(9)
+    parts = [
+        "user=alice", "login: 'bob.b'", "client_id = c-77", "AKIAABCD12", "AKIAABCDEFGH1234", "token: abcde", "secret='hunter2'", "api_key=abc",
+        "password = longenough1", "deadbeefdeadbeef01", "0123456789abcdef" * 2, "aB3dE5gH7jK9mN1pQ3rS5", "https://api.example.org/v1", "10.0.0.12", "host=db.internal",
+    ]
+    texts = []
+    for _ in range(400):
+        said = []
+        for _ in range(rng.randrange(1, 9)):
+            said += [rng.choice(parts), "~" * rng.choice([0, 1, 60, 150, 197, 198, 199, 200, 201, 260])]
+        texts.append(rng.choice([" ", "\n"]).join(said))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
+    want = [paired_spans(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == [as_text(spans) for spans, _, _ in want]
+    added, weak = (sum(w[i] for w in want) for i in (1, 2))
+    assert 100 < added < weak - 100
+
+
 def test_redaction(spark, no_rows):
     docs = spark.createDataFrame([(1, "a token=abcdefgh b"), (1, "clean"), (2, None), (3, "user: bob token=abc123!"), (3, "user: bob token=abc123!")], "doc_id long, text string")
     got = sorted((tuple(r) for r in secrets.redact(docs).collect()), key=str)

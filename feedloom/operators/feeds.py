@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.keys import FETCH_TASK_PREFIX, clean_ref_ids
 from feedloom.functions.urls import normalize_host
-from feedloom.operators.skew import CHUNK_ROWS, chunk_of, salted_join, since_reset
+from feedloom.operators.skew import CHUNK_ROWS, chunk_of, measured_join, salted_join, since_reset
 
 ERROR = "error"
 # Constants of a fetch payload.
@@ -163,7 +163,7 @@ def stale_tasks(tasks: DataFrame, feeds: DataFrame, hot: dict[int, int] | None =
     """
     requested, wanted = _wanted(tasks.where(_is_fetch(tasks)))
     known = _with_url(feeds).select("feed_id")
-    found = salted_join(wanted, known, "feed_id", spread=["task_id", "pos"], how="inner", hot=hot)
+    found = measured_join(wanted, known, "feed_id", spread=["task_id", "pos"], how="inner", hot=hot)
     counts = found.groupBy("task_id").agg(F.count(F.lit(1)).alias("_found"))
     size = F.coalesce(F.size("ref_ids"), F.lit(0))
     missing = size - F.coalesce("_found", F.lit(0))

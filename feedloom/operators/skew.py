@@ -94,6 +94,18 @@ def restrict(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], unique: bo
     return rows.join(bounded(few), list(keys), "left_semi")
 
 
+def measured_join(
+    rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str], how: str = "left", hot: dict[Any, int] | None = None
+) -> DataFrame:
+    """:func:`salted_join`, but a table that is measured to be small is broadcast and ``rows`` are neither sketched nor moved.
+
+    For tables that are cheap to read, as they are read once more to be measured.
+    """
+    if fits_broadcast(table):
+        return rows.join(F.broadcast(table), key, how)
+    return salted_join(rows, table, key, spread, how, hot)
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
     """Left join of wide ``rows`` to ``table`` (unique on ``key``).
 

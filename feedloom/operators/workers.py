@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.jobs import OPEN_JOB
-from feedloom.operators.skew import hot_keys, salted_join
+from feedloom.operators.skew import hot_keys, measured_join, salted_join
 
 # Task types and runtime counters known to the statistics.
 FETCH_TASKS = "rss.fetch"
@@ -50,7 +50,7 @@ def claimable_backlog(
     if worker_version is not None:
         ready = ready.where(F.coalesce("worker_version", F.lit("")) == worker_version)
     job = _open_jobs(jobs).withColumn("_open", F.lit(True))
-    open_tasks = salted_join(ready, job, "job_id", spread=["task_id"], how="inner").drop("_open")
+    open_tasks = measured_join(ready, job, "job_id", spread=["task_id"], how="inner").drop("_open")
     queue = Window.partitionBy("task_type").orderBy("requested_at", "task_id")
     return open_tasks.withColumn("rank", F.row_number().over(queue)).where(F.col("rank") <= max(1, k))
 

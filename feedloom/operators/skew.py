@@ -51,15 +51,18 @@ def salted_join(
     spread: Sequence[str],
     how: str = "left",
     hot: dict[Any, int] | None = None,
+    hint: str | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique on ``key``) with the rows of hot keys spread over salts.
 
     Without hot keys this is a plain join. The salt is a hash of the ``spread`` columns, not a random number, so
-    that a task that runs again sends each row to the same place. Only table rows of hot keys are copied.
+    that a task that runs again sends each row to the same place. Only table rows of hot keys are copied. ``hint`` is a
+    join hint for the table, such as ``shuffle_hash`` where it is narrow and the rows are wide: then rows are not sorted.
     """
     hot = hot_keys(rows, key) if hot is None else hot
+    hinted = lambda df: df if hint is None else df.hint(hint)
     if not hot:
-        return rows.join(table, key, how)
+        return rows.join(hinted(table), key, how)
     schema = StructType([StructField(key, rows.schema[key].dataType), StructField("_copies", IntegerType())])
     # At most MAX_HOT_KEYS rows.
     salts = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), schema))
@@ -70,7 +73,7 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
         .drop("_copies")
     )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(hinted(right), [key, "_salt"], how).drop("_salt")
 
 
 def fits_broadcast(rows: DataFrame) -> bool:

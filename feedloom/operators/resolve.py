@@ -22,7 +22,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.skew import CHUNK_ROWS, chunk_of, earlier, restrict, salted_join
+from feedloom.operators.skew import CHUNK_ROWS, chunk_of, earlier, hinted, restrict, salted_join
 from feedloom.session import cut_lineage
 
 MAX_ROUNDS = 32
@@ -41,7 +41,7 @@ def best_by_content(articles: DataFrame) -> DataFrame:
     )
 
 
-def _heads(rows: DataFrame, articles: DataFrame, cut: Cut) -> DataFrame:
+def _heads(rows: DataFrame, articles: DataFrame, cut: Cut, hint: str | None = None) -> DataFrame:
     """One row per article key of the batch with its class and, where already known, its article."""
     first = rows.groupBy("article_key").agg(F.min(F.struct("seq", "content_key")).alias("_head"))
     first = cut(
@@ -52,12 +52,12 @@ def _heads(rows: DataFrame, articles: DataFrame, cut: Cut) -> DataFrame:
     contents = cut(
         rows.where(F.col("content_key").isNotNull()).groupBy("content_key").agg(F.min("seq").alias("head_seq"))
     )
-    best = best_by_content(restrict(articles, contents, ["content_key"], unique=True))
-    openers = contents.join(best, "content_key", "left").select(
+    best = best_by_content(restrict(articles, contents, ["content_key"], True, hint))
+    openers = contents.join(hinted(best, hint), "content_key", "left").select(
         "head_seq", "stored_key", F.lit(True).alias("opens_content")
     )
-    stored = restrict(articles, first, ["article_key"], unique=True).select("article_key").withColumn("_stored", F.lit(True))
-    heads = first.join(stored, "article_key", "left").join(openers, "head_seq", "left")
+    stored = restrict(articles, first, ["article_key"], True, hint).select("article_key").withColumn("_stored", F.lit(True))
+    heads = first.join(hinted(stored, hint), "article_key", "left").join(hinted(openers, hint), "head_seq", "left")
     opens = F.coalesce("opens_content", F.lit(False))
     heads = cut(
         heads.select(
@@ -73,7 +73,7 @@ def _heads(rows: DataFrame, articles: DataFrame, cut: Cut) -> DataFrame:
     alias = heads.where(F.col("stored_key").isNotNull()).select(
         F.col("stored_key").alias("article_key"), F.col("head_seq").alias("alias_seq")
     )
-    heads = heads.join(alias, "article_key", "left")
+    heads = heads.join(hinted(alias, hint), "article_key", "left")
     aliased = F.coalesce(F.col("alias_seq") < F.col("head_seq"), F.lit(False))
     follows = ~aliased & F.col("content_taken")
     return heads.select(
@@ -86,10 +86,10 @@ def _heads(rows: DataFrame, articles: DataFrame, cut: Cut) -> DataFrame:
     )
 
 
-def _anchors(rows: DataFrame, heads: DataFrame, chunk_rows: int, order: str) -> DataFrame:
+def _anchors(rows: DataFrame, heads: DataFrame, chunk_rows: int, order: str, hint: str | None = None) -> DataFrame:
     """For each following head the key and position of its anchor."""
     followers = heads.where("follows").select(F.col("head_seq").alias("seq"), F.lit(True).alias("follows"))
-    marked = rows.where(F.col("content_key").isNotNull()).join(followers, "seq", "left")
+    marked = rows.where(F.col("content_key").isNotNull()).join(hinted(followers, hint), "seq", "left")
     anchor = F.when(F.col("follows").isNull(), F.struct("seq", "article_key"))
     found = earlier(
         marked, "content_key", "seq", chunk_of(order, chunk_rows), anchor, F.max, lambda a, b: F.coalesce(a, b), "anchor"
@@ -99,17 +99,17 @@ def _anchors(rows: DataFrame, heads: DataFrame, chunk_rows: int, order: str) ->
     )
 
 
-def _links(anchors: DataFrame, heads: DataFrame) -> DataFrame:
+def _links(anchors: DataFrame, heads: DataFrame, hint: str | None = None) -> DataFrame:
     """Following heads with their article, or with the key whose head decides it."""
     end = heads.select(F.col("article_key").alias("next_key"), "alias_seq", F.col("target").alias("_target"))
-    joined = salted_join(anchors, end, "next_key", spread=["article_key"])
+    joined = salted_join(anchors, end, "next_key", spread=["article_key"], hint=hint)
     aliased = F.coalesce(F.col("alias_seq") < F.col("anchor_seq"), F.lit(False))
     return joined.select(
         "article_key", "next_key", F.when(aliased, F.col("next_key")).otherwise(F.col("_target")).alias("target")
     )
 
 
-def _double(links: DataFrame, cut: Cut) -> DataFrame:
+def _double(links: DataFrame, cut: Cut, hint: str | None = None) -> DataFrame:
     """Follow the open links until each has an article; the open part halves its distance every round."""
     done = links.where(F.col("target").isNotNull())
     still_open = links.where(F.col("target").isNull())
@@ -120,7 +120,7 @@ def _double(links: DataFrame, cut: Cut) -> DataFrame:
             F.col("article_key").alias("next_key"), F.col("target").alias("_target"), F.col("next_key").alias("_next")
         )
         moved = cut(
-            salted_join(still_open.drop("target"), known, "next_key", spread=["article_key"], how="inner").select(
+            salted_join(still_open.drop("target"), known, "next_key", spread=["article_key"], how="inner", hint=hint).select(
                 "article_key", F.col("_next").alias("next_key"), F.col("_target").alias("target")
             )
         )
@@ -135,23 +135,25 @@ def resolve(
     chunk_rows: int = CHUNK_ROWS,
     order: str = "seq",
     root: str | None = None,
+    hint: str | None = None,
 ) -> DataFrame:
     """Add ``resolved_key`` and ``is_root`` (the row writes article fields) to every candidate.
 
     ``seq`` is the unique total order of the batch; ``order`` is the dense integer column it sorts by first. The
     candidates are read several times, so store them first if they are costly. ``root`` takes the intermediate tables.
+    ``hint`` is the join hint of all lookups, ``merge`` where they are many and none should be a broadcast.
     """
     cut = partial(cut_lineage, root=root)
     content = F.when(F.col("content_key") != "", F.col("content_key")).alias("content_key")
     rows = candidates.select(*dict.fromkeys(["seq", order]), "article_key", content)
-    heads = cut(_heads(rows, articles, cut))
-    anchors = cut(_anchors(rows, heads, chunk_rows, order))
-    links = cut(_links(anchors, heads))
-    followed = _double(links, cut).withColumnRenamed("target", "_followed")
-    final = heads.join(followed, "article_key", "left").select(
+    heads = cut(_heads(rows, articles, cut, hint))
+    anchors = cut(_anchors(rows, heads, chunk_rows, order, hint))
+    links = cut(_links(anchors, heads, hint))
+    followed = _double(links, cut, hint).withColumnRenamed("target", "_followed")
+    final = heads.join(hinted(followed, hint), "article_key", "left").select(
         "article_key", "head_seq", "alias_seq", "is_root", F.coalesce("target", "_followed").alias("_target")
     )
-    joined = salted_join(candidates, final, "article_key", spread=["seq"])
+    joined = salted_join(candidates, final, "article_key", spread=["seq"], hint=hint)
     aliased = F.coalesce(F.col("alias_seq") < F.col("seq"), F.lit(False))
     return (
         joined.withColumn("resolved_key", F.when(aliased, F.col("article_key")).otherwise(F.col("_target")))

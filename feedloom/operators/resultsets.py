@@ -10,7 +10,8 @@ on the store, so it is right from the first round on; a set is right one round a
 round changes no fact, its rows are those of the sequential walk. A key or a content that runs through all sets takes two
 or three rounds, not one for each set.
 
-All lookups are by key: a set's own maps are kept apart by prefixing keys with the set, and the best article of a content
+All lookups move both sides by key: what a round joins is as large as the candidates, and broadcasts, small ones too, would
+pass the driver in every round. A set's own maps are kept apart by prefixing keys with the set, and the best article of a content
 as of a set is a running maximum over the events of this content, folded in chunks so that one content may hold a third of
 all rows.
 """
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators.resolve import resolve
-from feedloom.operators.skew import CHUNK_ROWS, earlier, restrict
+from feedloom.operators.skew import CHUNK_ROWS, earlier, hinted, restrict
 from feedloom.session import cut_lineage
 
 #: Since when a fact of an article holds that was stored before the first set.
 ALWAYS = -1
 _GAP = "\x1f"
+#: How the tables of a round are joined.
+_BY_KEY = "merge"
 
 
 def _in_set(key: str) -> Column:
@@ -45,7 +48,7 @@ def _stored_facts(candidates: DataFrame, articles: DataFrame) -> DataFrame:
     named = candidates.select("article_key")
     contents = candidates.where("content_key <> ''").select("content_key")
     columns = articles.select("article_key", "content_key", "published_at", "ingested_at")
-    found = restrict(columns, named, ["article_key"]).unionByName(restrict(columns, contents, ["content_key"]))
+    found = restrict(columns, named, ["article_key"], hint=_BY_KEY).unionByName(restrict(columns, contents, ["content_key"], hint=_BY_KEY))
     return found.groupBy("article_key").agg(*(F.max(c).alias(c) for c in ("content_key", "published_at", "ingested_at")))
 
 
@@ -76,7 +79,7 @@ def _facts(stored: DataFrame, resolved: DataFrame | None, as_of: Column) -> Data
         first("content_key", "content_key").alias("_content"), first("set_id", "content_key").alias("_content_since"),
         first("published_at", "published_at").alias("_published"), first("set_id", "published_at").alias("_published_since"),
     )
-    return known.join(new, "article_key", "full_outer").select(
+    return known.join(hinted(new, _BY_KEY), "article_key", "full_outer").select(
         "article_key",
         F.coalesce("content_key", "_content").alias("content_key"),
         F.coalesce("published_at", "_published").alias("published_at"),
@@ -98,7 +101,7 @@ def _store_of_sets(named: DataFrame, contents: DataFrame, facts: DataFrame, chun
     ``named`` and ``contents`` are the distinct article keys and content keys of each set.
     """
     since = facts.select("article_key", "exists_since")
-    by_key = named.join(since, "article_key").where("exists_since < set_id").select("set_id", "article_key", F.lit(None).cast("string").alias("content_key"))
+    by_key = named.join(hinted(since, _BY_KEY), "article_key").where("exists_since < set_id").select("set_id", "article_key", F.lit(None).cast("string").alias("content_key"))
     # An article enters the race for its content when it has it, and once more when its publication is known.
     late = F.col("published_since") > F.col("content_since")
     at_first = F.struct(F.when(~F.coalesce(late, F.lit(True)), F.col("published_at")).alias("published_at"), "ingested_at", "article_key")
@@ -151,10 +154,10 @@ def resolve_sets(
     while True:
         looked_up = cut(_store_of_sets(named, contents, facts, chunk_sets))
         sets = rows.withColumnRenamed("content_key", "own_content").withColumnRenamed("set_content", "content_key")
-        found = resolve(sets, looked_up, chunk_rows, order, root)
+        found = resolve(sets, looked_up, chunk_rows, order, root, _BY_KEY)
         own = F.col("own_content").alias("content_key")
         resolved = cut(found.select("seq", "set_id", "published_at", own, _after_gap("resolved_key").alias("resolved_key"), "is_root"))
         facts = cut(_facts(stored, resolved, as_of))
         before, state = state, _state(facts)
         if state == before:  # what the sets looked up is what they left
-            return candidates.join(resolved.select("seq", "resolved_key", "is_root"), "seq")
+            return candidates.join(hinted(resolved.select("seq", "resolved_key", "is_root"), _BY_KEY), "seq")

@@ -44,6 +44,10 @@ def hot_keys(rows: DataFrame, key: str) -> dict[Any, int]:
     return {r["item"]: min(-(-r["count"] // HOT_ROWS) + 1, MAX_SALTS) for r in found if r["count"] >= HOT_ROWS}
 
 
+def hinted(table: DataFrame, hint: str | None) -> DataFrame:
+    return table if hint is None else table.hint(hint)
+
+
 def salted_join(
     rows: DataFrame,
     table: DataFrame,
@@ -60,9 +64,8 @@ def salted_join(
     join hint for the table, such as ``shuffle_hash`` where it is narrow and the rows are wide: then rows are not sorted.
     """
     hot = hot_keys(rows, key) if hot is None else hot
-    hinted = lambda df: df if hint is None else df.hint(hint)
     if not hot:
-        return rows.join(hinted(table), key, how)
+        return rows.join(hinted(table, hint), key, how)
     schema = StructType([StructField(key, rows.schema[key].dataType), StructField("_copies", IntegerType())])
     # At most MAX_HOT_KEYS rows.
     salts = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), schema))
@@ -73,7 +76,7 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
         .drop("_copies")
     )
-    return left.join(hinted(right), [key, "_salt"], how).drop("_salt")
+    return left.join(hinted(right, hint), [key, "_salt"], how).drop("_salt")
 
 
 def fits_broadcast(rows: DataFrame) -> bool:
@@ -88,13 +91,14 @@ def bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if fits_broadcast(keys) else keys
 
 
-def restrict(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
+def restrict(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], unique: bool = False, hint: str | None = None) -> DataFrame:
     """The rows of a large table whose keys occur in ``wanted`` (``unique`` says that each key occurs once there).
 
-    For few keys the table is filtered where it is read, for many both sides are moved by key.
+    For few keys the table is filtered where it is read, for many both sides are moved by key. With a join ``hint`` the
+    keys are not measured.
     """
     few = wanted.select(*keys) if unique else wanted.select(*keys).distinct()
-    return rows.join(bounded(few), list(keys), "left_semi")
+    return rows.join(bounded(few) if hint is None else hinted(few, hint), list(keys), "left_semi")
 
 
 def measured_join(
@@ -135,7 +139,8 @@ def earlier(
 ) -> DataFrame:
     """Add ``name``: ``fold`` of ``value`` over the strictly earlier rows of the same key.
 
-    ``merge`` combines two folded values; it must ignore a null on either side (``greatest``, ``least``).
+    ``merge`` combines two folded values; it must ignore a null on either side (``greatest``, ``least``). The rows lie by key
+    and chunk already, so the carried values come to them and never pass the driver.
     """
     tagged = rows.withColumn("_chunk", chunk)
     before = Window.partitionBy(key, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +154,7 @@ def earlier(
         .select(key, "_chunk", "_carry")
     )
     return (
-        local.join(carried, [key, "_chunk"], "left")
+        local.join(carried.hint("merge"), [key, "_chunk"], "left")
         .withColumn(name, merge(F.col("_local"), F.col("_carry")))
         .drop("_chunk", "_local", "_carry")
     )

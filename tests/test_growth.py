@@ -20,3 +20,26 @@ def test_outcome_texts_are_not_sorted(spark):
     found = sorted(((r.seq, r.verdict, r.last_error and r.last_error[:4], r.last_error and len(r.last_error)) for r in done.collect()), key=str)
     want = [(1, "accepted", "twin", 4), (1, "accepted", "xxxx", 2000), (2, "not_processing", None, None), (3, "stale_execution", None, None), (4, "accepted", None, None), (5, "unknown_task", None, None), (None, "not_processing", None, None)]
     assert found == sorted(want, key=str)
+
+
+def test_rounds_of_sets_broadcast_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from feedloom.operators import resolve, resultsets
+    from feedloom.session import cut_lineage
+
+    plans = []
+
+    def spy(df, root=None):
+        plans.append(plan_of(df))
+        return cut_lineage(df, root)
+
+    monkeypatch.setattr(resultsets, "cut_lineage", spy)
+    monkeypatch.setattr(resolve, "cut_lineage", spy)
+    rows = [(0, 0, "a", "x"), (1, 0, "b", "x"), (2, 1, "b", "y"), (3, 1, "c", None), (4, 2, "d", "x")]
+    batch = cut_lineage(spark.createDataFrame(rows, "seq long, set_id long, article_key string, content_key string").withColumn("published_at", F.lit(None).cast("timestamp")))
+    known = cut_lineage(spark.createDataFrame([("c", "y")], "article_key string, content_key string").selectExpr("*", "timestamp'2024-01-01' AS published_at", "timestamp'2024-01-02' AS ingested_at"))
+    done = resultsets.resolve_sets(batch, known, F.lit("2024-02-01").cast("timestamp"))
+    plans.append(plan_of(done))
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
+    assert sorted((r.seq, r.resolved_key, r.is_root) for r in done.collect()) == [(0, "a", True), (1, "a", False), (2, "c", True), (3, "c", False), (4, "a", True)]

@@ -38,9 +38,14 @@ def positions(keys: Sequence[str]) -> Column:
 
 
 def build(rows: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
-    """``part, block, bits`` of rows with ``part``: one filter of ``blocks`` blocks per partition."""
-    bits = rows.select("part", block_of(keys, F.lit(blocks)).alias("block"), F.explode(positions(keys)).alias("_at"))
-    return bits.groupBy("part", "block").agg(F.bitmap_construct_agg("_at").alias("bits"))
+    """``part, block, bits`` of rows with ``part``: one filter of ``blocks`` blocks per partition.
+
+    A bitmap for each of the hashes and then their union, so the rows are grouped as they are and not ``HASHES`` times.
+    """
+    placed = rows.select("part", block_of(keys, F.lit(blocks)).alias("block"), positions(keys).alias("_at"))
+    single = placed.groupBy("part", "block").agg(*[F.bitmap_construct_agg(F.get("_at", F.lit(i))).alias(f"_{i}") for i in range(HASHES)])
+    bits = single.select("part", "block", F.explode(F.array(*[f"_{i}" for i in range(HASHES)])).alias("_bits"))
+    return bits.groupBy("part", "block").agg(F.bitmap_or_agg("_bits").alias("bits"))
 
 
 def merge(filters: DataFrame, blocks: int) -> DataFrame:

@@ -7,7 +7,7 @@ file decides what is read.
 
 A lookup by keys reads the partitions these keys hash to, in the base and in the changes, and filters by the keys below the
 fold of the changes: its cost follows the batch, not the table. An ``indexed`` table has a Bloom filter of the keys for every
-partition of every layer; a lookup asks these first, reads the partitions of the layers that may hold one of the keys, and of
+partition of every layer; a lookup of few keys asks these first, reads the partitions of the layers that may hold one of the keys, and of
 them the rows whose key is wanted, so a wrong yes costs a read and never a row. Compaction folds all layers into one; layers and manifests
 that are not needed any more are removed by rule.
 """
@@ -34,6 +34,8 @@ PARTS = 64
 #: Changes on top of a base before :meth:`PartitionedTable.maintain` folds them, and manifests it keeps for readers.
 MAX_CHANGES = 16
 KEPT_MANIFESTS = 2
+#: A lookup by at least one key for so many that the filters have room for reads every partition, whatever they answer.
+KEYS_PER_ASKED = 10
 
 
 @dataclass(frozen=True)
@@ -167,6 +169,11 @@ class PartitionedTable:
         named = found.groupBy("layer").agg(F.sort_array(F.collect_set("part")).alias("parts")).collect()
         return found, {r["layer"]: r["parts"] for r in named}
 
+    def _asks_few(self, wanted: DataFrame, layers: list[dict[str, Any]]) -> bool:
+        """Whether ``wanted`` is so few keys, next to the largest filters, that asking the filters can spare reads."""
+        room = max([x["blocks"] * len(x["parts"]) for x in layers if x.get("blocks")], default=0) * keyindex.BLOCK_BITS // keyindex.BITS_PER_KEY
+        return wanted.count() * KEYS_PER_ASKED < room
+
     def _load_hits(self, layers: list[dict[str, Any]], found: DataFrame, named: dict[str, list[int]]) -> DataFrame | None:
         used = {x["name"]: named[x["name"]] for x in layers if x["name"] in named}
         if not used:
@@ -179,7 +186,7 @@ class PartitionedTable:
         """The table as of ``version`` (default: the newest), or the rows of it whose keys occur in ``wanted``."""
         _, manifest = self._manifest(version)
         found = []
-        if wanted is not None and self.indexed:
+        if wanted is not None and self.indexed and self._asks_few(wanted, manifest["layers"]):
             hits, named = self.hits(wanted, version)
             load = lambda layers: self._load_hits(layers, hits, named)
         elif wanted is not None:

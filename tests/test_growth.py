@@ -43,3 +43,24 @@ def test_rounds_of_sets_broadcast_nothing(spark, monkeypatch):
     plans.append(plan_of(done))
     assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
     assert sorted((r.seq, r.resolved_key, r.is_root) for r in done.collect()) == [(0, "a", True), (1, "a", False), (2, "c", True), (3, "c", False), (4, "a", True)]
+
+
+def test_lookup_of_most_keys_asks_no_filters(spark, tmp_path, monkeypatch):
+    from feedloom.sources import keyindex
+    from feedloom.sources.partitioned import PartitionedTable
+
+    table = PartitionedTable(spark, str(tmp_path / "t"), ["id"], "id STRING, n BIGINT", 4, indexed=True)
+    rows = spark.range(20000).selectExpr("cast(id AS string) AS id", "id AS n")
+    table.write(rows, 1)
+    table.write(rows.where("n % 2 = 0").selectExpr("id", "-n AS n"), 2)
+    asked = []
+    hits = PartitionedTable._hits
+    monkeypatch.setattr(PartitionedTable, "_hits", lambda self, *a: asked.append(1) or hits(self, *a))
+    found = table.lookup(rows.where("n % 3 = 0").unionByName(spark.createDataFrame([("none", 1), (None, 2)], "id string, n long")))
+    assert found.agg({"n": "sum", "id": "count"}).first().asDict() == {"sum(n)": sum(-n if n % 2 == 0 else n for n in range(0, 20000, 3)), "count(id)": 6667}
+    assert not asked
+    assert table.lookup(spark.createDataFrame([("4",)], "id string")).collect()[0].n == -4
+    assert asked
+    # The rows are grouped once, not once for each hash.
+    plan = plan_of(keyindex.build(spark.range(9).selectExpr("id", "0 AS part"), ["id"], 2))
+    assert plan.index("Generate") < plan.rindex("bitmap_construct_agg")

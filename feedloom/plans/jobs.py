@@ -10,7 +10,7 @@ from feedloom.operators import workers as W
 from feedloom.functions.keys import clean_ref_ids, parse_payload_ref, payload_ref
 from feedloom.operators.progress import ProgressStore, advance, current_status
 from feedloom.plans.registry import query, sql_stamp, stamp, table
-from feedloom.session import scratch_path
+from feedloom.session import cut_lineage, scratch_path
 
 AS_OF = "1998-06-01 00:00:00"
 EVENTS_AS_OF = "2024-01-20 00:00:00"
@@ -145,10 +145,10 @@ def job_status_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_batches(rows: DataFrame) -> list[DataFrame]:
     """All tasks as pending; two steps of some of them; the state, items and job that every second one ends with.
 
-    Of rows that share a task id the one requested last counts.
+    Of rows that share a task id the one requested last counts. These are stored, as each batch reads them all.
     """
     latest = F.max(F.struct("requested_at", "status", "item_success", "item_error", "job_id")).alias("_row")
-    rows = rows.groupBy("task_id").agg(latest).select("task_id", "_row.*")
+    rows = cut_lineage(rows.groupBy("task_id").agg(latest).select("task_id", "_row.*"))
     ids = F.split("task_id", "-")
     part, supp = ids[2].cast("bigint"), ids[3].cast("bigint")
     none = F.lit(None).cast("bigint")

@@ -64,3 +64,12 @@ def test_lookup_of_most_keys_asks_no_filters(spark, tmp_path, monkeypatch):
     # The rows are grouped once, not once for each hash.
     plan = plan_of(keyindex.build(spark.range(9).selectExpr("id", "0 AS part"), ["id"], 2))
     assert plan.index("Generate") < plan.rindex("bitmap_construct_agg")
+
+
+def test_task_batches_read_the_tasks_once(spark):
+    from feedloom.plans.jobs import task_batches
+
+    rows = spark.createDataFrame([("1-1-4-2", 1, "failed", 5, 6), ("1-1-4-2", 1, "pending", 5, 6)], "task_id string, job_id long, status string, item_success long, item_error long").selectExpr("*", "date'2024-01-01' AS requested_at")
+    batches = task_batches(rows)
+    assert not [b for b in batches if "Aggregate" in plan_of(b)]
+    assert [sorted((r.seq, r.status) for r in b.collect()) for b in batches] == [[(1, "pending")], [(2, "processing"), (3, "failed")], [(4, "pending")]]

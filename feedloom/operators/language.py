@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, IndexToString, NGram, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.language import declared_language, detection_text, is_unknown, normalize_label
 from feedloom.functions.text import UNKNOWN
+from feedloom.operators.grams import GramCounts
 
 # A detector adds a string column ``label`` computed from the column ``text``.
 Detector = Callable[[DataFrame], DataFrame]
@@ -37,22 +38,20 @@ def assign_language(rows: DataFrame, detector: Detector | None = None) -> DataFr
 def train_detector(documents: DataFrame, ngram: int = 3, features: int = 1 << 14) -> PipelineModel:
     """Fit a character n-gram model on ``text, lang``; one distributed aggregation per label."""
     labels = StringIndexer(inputCol="lang", outputCol="_label", handleInvalid="skip").fit(documents)
-    stages = [
-        SQLTransformer(statement="SELECT *, split(lower(text), '') AS _chars FROM __THIS__"),
-        NGram(n=ngram, inputCol="_chars", outputCol="_grams"),
-        HashingTF(inputCol="_grams", outputCol="_features", numFeatures=features),
-        NaiveBayes(
-            featuresCol="_features", labelCol="_label", predictionCol="_prediction",
-            rawPredictionCol="_raw", probabilityCol="_probability",
-        ),
-        IndexToString(inputCol="_prediction", outputCol="label", labels=labels.labels),
-    ]
-    return Pipeline(stages=stages).fit(labels.transform(documents.where(F.col("lang").isNotNull())))
+    grams = GramCounts(n=ngram, inputCol="text", outputCol="_features", numFeatures=features)
+    bayes = NaiveBayes(
+        featuresCol="_features", labelCol="_label", predictionCol="_prediction",
+        rawPredictionCol="_raw", probabilityCol="_probability",
+    )
+    known = labels.transform(documents.where(F.col("lang").isNotNull()))
+    names = IndexToString(inputCol="_prediction", outputCol="label", labels=labels.labels)
+    # Training needs no texts beside their counts.
+    return PipelineModel([grams, bayes.fit(grams.counted(known, ["_label"])), names])
 
 
 def model_detector(model: PipelineModel) -> Detector:
     """A detector from a fitted model."""
-    scratch = ["_chars", "_grams", "_features", "_raw", "_probability", "_prediction"]
+    scratch = ["_features", "_raw", "_probability", "_prediction"]
     return lambda df: model.transform(df).drop(*scratch)
 
 
